@@ -9,8 +9,8 @@ a class.
 Lists stay short without a cap. If two sketches share `need` values, then the rarest
 len - need + 1 values of the one and of the other have a value in common, so only
 these are listed. What is then still a long list belongs to a large group of near
-copies: there every member is compared with a leader first, and later only pairs
-whose classes differ, dealt in blocks.
+copies. Its nodes form a family, which is compared exactly by blocks of full sets;
+no pair of it leaves a task but those of a forest that connects its classes.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ PERCENT = 80
 #: Values that a sketch keeps. Pairs of 80 % share 21 of 48 but for a chance of 1e-8.
 KEPT = 48
 NEED = 21
-#: Members from which a list is long, rounds of leaders, and members a block.
+#: Members beyond which a list is long; members and shingles a block, columns a product.
 LONG = 32
-ROUNDS = 3
-BLOCK = 512
+BLOCK = 2048
+BLOCK_SHINGLES = 500_000
+COLUMNS = 2048
 CACHE_WORDS = 1_000_000
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
@@ -123,38 +124,38 @@ def near_in_size(a: str, b: str, percent: int):
 
 
 def pairs_of(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs that share a list; with a `label`, only those of two labels.
+    """a, b: the pairs that share a (short) list and are near in size."""
+    side = lambda p: lists.select(F.col("value").alias(f"{p}_value"), F.col("node").alias(p), F.col("n").alias(f"{p}_n"))
+    return side("a").join(side("b"), (F.col("a_value") == F.col("b_value")) & (F.col("a") < F.col("b")) & near_in_size("a_n", "b_n", percent)).select("a", "b").distinct()
 
-    A long list is dealt in blocks: each member goes to one block as a and to all as b.
-    """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    labelled = "label" in lists.columns
-    more = ["label"] if labelled else []
-    left = lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select("value", "block", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", *more)])
-    right = lists.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(F.col("value").alias("b_value"), F.col("block").alias("b_block"), *[F.col(c).alias(f"b_{c}") for c in ("node", "n", *more)])
-    on = (F.col("value") == F.col("b_value")) & (F.col("block") == F.col("b_block")) & (F.col("a_node") < F.col("b_node")) & near_in_size("a_n", "b_n", percent)
-    if labelled:
-        on = on & (F.col("a_label") != F.col("b_label"))
-    return left.join(right, on).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
+def full_sets(asked: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, shingles: the sets of nodes (node, doc), made anew from the documents' texts."""
 
-def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: each label's least member in a list, paired with the list's least of all.
+    def sets(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    Lists are taken apart by size first: a band spans a factor of 100 / percent.
-    """
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)))
-    firsts = lists.withColumn("band", band).groupBy("value", "band", "label").agg(F.min(F.struct("node", "n")).alias("first"))
-    leaders = firsts.groupBy(F.col("value").alias("l_value"), F.col("band").alias("l_band")).agg(F.min("first").alias("leader"))
-    both = firsts.join(leaders, (F.col("value") == F.col("l_value")) & (F.col("band") == F.col("l_band"))).filter(F.col("first.node") != F.col("leader.node"))
-    return both.filter(near_in_size("first.n", "leader.n", percent)).select(F.col("leader.node").alias("a"), F.col("first.node").alias("b")).distinct()
+        for batch in batches:
+            nodes, found = [], []
+            for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist()):
+                s = shingle_set(text, width)
+                if digest_of(s) == node:  # else another text of the same id
+                    nodes.append(node)
+                    found.append(s)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "shingles"])
+
+    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node")
+    return scratch(texts.mapInArrow(sets, "node binary, shingles array<long>").dropDuplicates(["node"]))
 
 
 def links_among(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, kept: int, need: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
     Sketches that are whole sets decide at once. Other pairs that the estimate lets
-    through are compared on their full sets, made anew from the texts of their nodes.
+    through are compared on their full sets.
     """
     side = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("doc").alias(f"{p}_doc"), F.col("sketch").alias(f"{p}_sketch"))
     union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, kept)
@@ -168,22 +169,7 @@ def links_among(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     )
     estimated = scratch(estimated)
     open_ = estimated.filter("not sure")
-    asked = scratch(open_.select(F.col("a").alias("node"), F.col("a_doc").alias("doc")).union(open_.select("b", "b_doc")).distinct())
-
-    def sets(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = {"node": [], "shingles": []}
-            for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist()):
-                s = shingle_set(text, width)
-                if digest_of(s) == node:  # else another text of the same id
-                    out["node"].append(node)
-                    out["shingles"].append(s.tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("node", pa.binary()), ("shingles", pa.binary())]))
-
-    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node")
-    full = scratch(texts.mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"]))
+    full = full_sets(open_.select(F.col("a").alias("node"), F.col("a_doc").alias("doc")).union(open_.select("b", "b_doc")).distinct(), docs, width)
 
     def compare(batches):
         import numpy as np
@@ -192,7 +178,7 @@ def links_among(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.int64), np.frombuffer(y.as_buffer(), dtype=np.int64)
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * n >= percent * (len(x) + len(y) - n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -202,8 +188,94 @@ def links_among(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     return scratch(estimated.filter("sure").select("a", "b").unionByName(compared))
 
 
-def connect(links: DataFrame) -> DataFrame:
-    """node, label: the least node that each linked node can reach.
+def families(lists: DataFrame) -> DataFrame:
+    """node, label: the nodes that long lists connect, before any comparison."""
+    first = lists.groupBy(F.col("value").alias("f_value")).agg(F.min("node").alias("first"))
+    return connect(lists.join(first, F.col("value") == F.col("f_value")).select(F.col("node").alias("a"), F.col("first").alias("b")), loops=True)
+
+
+def common_shingles(rows: list, others: list):
+    """The sizes of the intersections of each set of rows with each of others, by matrix products."""
+    import numpy as np
+
+    n = len(rows)
+    sizes = [len(x) for x in [*rows, *others]]
+    values, column = np.unique(np.concatenate([*rows, *others]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    often = np.bincount(column, minlength=len(values)) > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, len(others)), dtype=np.float32)
+    for at in range(0, int(often.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        holds = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+        holds[row[low:high], column[low:high] - at] = 1
+        out += holds[:n] @ holds[n:].T
+    return out
+
+
+def forest(near):
+    """(i, j) edges that connect what a matrix of rows by others connects; j counts after the rows."""
+    import numpy as np
+
+    n, m = near.shape
+    label = np.arange(n + m)
+    while True:
+        high = n + m
+        new = label.copy()
+        new[:n] = np.minimum(new[:n], np.where(near, label[n:], high).min(axis=1, initial=high))
+        new[n:] = np.minimum(new[n:], np.where(near.T, new[:n], high).min(axis=1, initial=high))
+        if (new == label).all():
+            return [(i, int(x)) for i, x in enumerate(label) if i != x]
+        label = new
+
+
+def links_in_families(lists: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links that connect the near nodes of each family.
+
+    A family is dealt in blocks of bounded size, each pair of blocks is compared as
+    two matrices, and only a forest of the links that it finds leaves the task.
+    """
+    family = scratch(families(lists)).withColumnRenamed("node", "f_node")
+    members = nodes.select("node", "doc", "n").join(family, F.col("node") == F.col("f_node")).drop("f_node")
+    parts = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int")
+    blocks = members.groupBy(F.col("label").alias("b_label")).agg(parts.alias("blocks"))
+    members = scratch(members.join(blocks, F.col("label") == F.col("b_label")).drop("b_label"))
+    full = full_sets(members.select("node", "doc"), docs, width)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        members.select("node", "label", "blocks", own.alias("own")).join(full, "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
+    )
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+
+        first = np.array(table.column("own").to_pylist()) == table.column("i")[0].as_py()
+        sets = [x.values.to_numpy() for x in table.column("shingles")]
+        node = table.column("node").to_pylist()
+        one_block = table.column("i")[0] == table.column("j")[0]
+        at = np.flatnonzero(first)
+        to = at if one_block else np.flatnonzero(~first)
+        if not len(at) or not len(to):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        common = common_shingles([sets[i] for i in at], [sets[i] for i in to])
+        sizes = np.array([len(x) for x in sets], dtype=np.float32)
+        near = 100 * common >= percent * (sizes[at][:, None] + sizes[to][None, :] - common)
+        place = np.concatenate([at, to])
+        edges = [(node[place[i]], node[place[j]]) for i, j in forest(near)]
+        edges = [e for e in edges if e[0] != e[1]]
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
+
+    return scratch(dealt.groupBy("label", "i", "j").applyInArrow(compare, "a binary, b binary"))
+
+
+def connect(links: DataFrame, loops: bool = False) -> DataFrame:
+    """node, label: the least node that each linked node can reach (with loops: least nodes too).
 
     Alternates large and small stars: every node hands its neighbours on to the
     least of them, until all edges end in a least node. No neighbourhood is gathered.
@@ -220,17 +292,11 @@ def connect(links: DataFrame) -> DataFrame:
         edges = scratch(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            return out.union(links.filter("a = b").select("a", "b").distinct().join(edges, F.col("a") == F.col("u"), "left_anti")) if loops else out
         state = now
 
 
-def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """lists with the label of each member, without lists of one label."""
-    with_label = lists.drop("label").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
-    several = with_label.groupBy(F.col("value").alias("s_value")).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("s_value")
-    return scratch(with_label.join(several, F.col("value") == F.col("s_value"), "left_semi"))
-
-
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: int = KEPT, need: int = NEED) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs.
 
@@ -243,20 +309,11 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: i
     sketched = scratch(sketch_rows(docs, width, kept))
     nodes = scratch(sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     lists = inverted_lists(nodes, kept, need)
-    check = lambda pairs: links_among(pairs, nodes, docs, width, percent, kept, need)
-    long_ = lists.filter(F.col("members") > LONG).withColumn("label", F.col("node"))
-    links = check(pairs_of(lists.filter(F.col("members") <= LONG), percent).union(leader_pairs(long_, percent)).distinct())
-    labels = connect(links)
-    for _ in range(ROUNDS):
-        long_ = labelled(long_, labels)
-        more = check(leader_pairs(long_, percent))
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        labels = connect(links)
-    long_ = labelled(long_, labels)
+    long_ = lists.filter(F.col("members") > LONG)
+    links = links_among(pairs_of(lists.filter(F.col("members") <= LONG), percent), nodes, docs, width, percent, kept, need)
     if not long_.isEmpty():
-        labels = connect(links.union(check(pairs_of(long_, percent))))
+        links = links.union(links_in_families(long_, nodes, docs, width, percent))
+    labels = connect(links)
     known = nodes.select("node", "doc").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy(F.col("label").alias("c_label")).agg(F.min("doc").alias("component_id"))
     of_node = scratch(known.join(least, F.col("label") == F.col("c_label")).select(F.col("node").alias("c_node"), "component_id"))
