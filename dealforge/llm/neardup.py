@@ -29,9 +29,9 @@ KEPT = 48
 NEED = 21
 #: Members beyond which a list is long; members and shingles a block, columns a product.
 LONG = 32
-BLOCK = 2048
-BLOCK_SHINGLES = 500_000
-COLUMNS = 2048
+BLOCK = 1024
+BLOCK_SHINGLES = 250_000
+COLUMNS = 1024
 CACHE_WORDS = 1_000_000
 ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
