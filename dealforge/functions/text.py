@@ -48,7 +48,7 @@ def first(record: Column, *keys: str) -> Column:
 
 def string_list(c: Column, separators: str = ",|") -> Column:
     """The trimmed, non-blank parts of a separated text."""
-    return F.filter(F.transform(F.split(c, f"[{separators}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, f"[{separators}]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def other_keys(record: Column, *used: str) -> Column:
