@@ -77,7 +77,7 @@ def digest_of(shingles) -> bytes:
 
 
 def sketch_rows(docs: DataFrame, width: int, kept: int) -> DataFrame:
-    """doc_id, n, node (digest of the set), sketch (its least values) of every row."""
+    """doc_id, text_hash, n, node (digest of the set), sketch (its least values) of every row."""
 
     def run(batches):
         import numpy as np
@@ -89,11 +89,11 @@ def sketch_rows(docs: DataFrame, width: int, kept: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in least])]).astype(np.int32)
             values = np.concatenate(least) if least else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["doc_id", "n", "node", "sketch"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                names=["doc_id", "text_hash", "n", "node", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node binary, sketch array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, node binary, sketch array<long>")
 
 
 def inverted_lists(nodes: DataFrame, kept: int, need: int) -> DataFrame:
@@ -298,7 +298,7 @@ def connect(links: DataFrame, loops: bool = False) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: int = KEPT, need: int = NEED) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+    """doc_id, n_shingles, component_id, kept, text_hash: one row per row of docs.
 
     component_id is the least doc_id of the class, kept says whether the row has it.
     A null, empty or blank text has no shingles and is alone; rows of one id are
@@ -317,16 +317,19 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: i
     known = nodes.select("node", "doc").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy(F.col("label").alias("c_label")).agg(F.min("doc").alias("component_id"))
     of_node = scratch(known.join(least, F.col("label") == F.col("c_label")).select(F.col("node").alias("c_node"), "component_id"))
-    both = sketched.select("doc_id", "n", "node").join(of_node, F.col("node") == F.col("c_node"), "left")
+    both = sketched.select("doc_id", "text_hash", "n", "node").join(of_node, F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return both.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return both.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is the least of its class, with the columns of docs."""
-    stay = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    """The rows of docs whose id is the least of its class, with the columns of docs.
+
+    Rows are found again by id and text, so that null or repeated ids do no harm.
+    """
+    stay = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__hash"))
+    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_semi")
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
-    return classes(read_table(spark, sf_dir, "documents"), width=4)
+    return classes(read_table(spark, sf_dir, "documents"), width=4).drop("text_hash")
