@@ -14,6 +14,7 @@ import bisect
 import zlib
 from array import array
 from collections import defaultdict
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ SMALL = 8
 RANK_PARTS = 1024
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
+#: Signs that are taken off the end of a word; an apostrophe can begin a pre-token of letters.
+SIGNS = "!#$%&()*+,-./:;=?@[]^_`{}~"
 
 _tokenizers: dict = {}
 
@@ -37,11 +40,13 @@ class WordIds(dict):
     """The ids of a word, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's
-    ids are those of its words. New words are encoded many at a time, separated by a
-    special token. The cache is emptied when full.
+    ids are those of its words. New words are encoded many at a time: words of
+    letters alone end where an id with the mark of a word's end stands, others are
+    separated by a special token. The cache is emptied when full.
     """
 
     MARK, MARK_ID = "<|startoftext|>", 49406
+    END = "</w>"
 
     def __init__(self, path: str):
         import os
@@ -49,25 +54,38 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        import numpy as np
+
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.parts: dict[str, bytes] = {"": b""}
         self.marked = self.tokenizer.token_to_id(self.MARK) == self.MARK_ID
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
 
     def bytes_of(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def learn(self, new: set[str]) -> None:
-        """Put words into the cache, through their lower-cased stems without a last stop."""
+        """Put words into the cache, through their lower-cased stems and the signs behind them.
+
+        Letters and digits never share a pre-token with signs, so that the two parts
+        can be encoded alone; a part is shared by many words.
+        """
         if len(self) > CACHE_WORDS:
             self.clear()
             self.parts = {"": b""}
-        split = {}
-        for word in new:
-            low = word.lower() if word.isascii() else word
-            split[word] = (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[-2:-1].isalnum() else (low, "")
-        missing = [p for p in {p for pair in split.values() for p in pair} if p not in self.parts]
-        plain = [p for p in missing if self.marked and "<|" not in p and not p.isspace()]
+        words = list(new)
+        low = [w.lower() if w.isascii() else w for w in words]
+        stems = [x.rstrip(SIGNS) for x in low]
+        stems = [s if s[-1:].isalnum() and "<|" not in s else x for s, x in zip(stems, low)]
+        tails = [x[len(s) :] for s, x in zip(stems, low)]
+        missing = [p for p in {*stems, *tails} if p not in self.parts]
+        letters = [p for p in missing if p.isalpha()]
+        for i in range(0, len(letters), 2000):
+            self.learn_letters(letters[i : i + 2000])
+        plain = [p for p in missing if self.marked and p not in self.parts and "<|" not in p and not p.isspace()]
         for i in range(0, len(plain), 500):
             group = plain[i : i + 500]
             ids = self.tokenizer.encode(f" {self.MARK} ".join(group), add_special_tokens=False).ids
@@ -79,17 +97,27 @@ class WordIds(dict):
         for p in missing:
             if p not in self.parts:
                 self.parts[p] = self.bytes_of(p)
-        for word, (a, b) in split.items():
-            self[word] = self.parts[a] + self.parts[b]
+        look = self.parts.__getitem__
+        self.update(zip(words, map(add, map(look, stems), map(look, tails))))
+
+    def learn_letters(self, group: list[str]) -> None:
+        """Words of letters, each of which ends at one marked id; if the numbers differ, none is learned."""
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) == len(group) and stops[-1] == 4 * len(ids):
+            data = ids.tobytes()
+            self.parts.update(zip(group, map(data.__getitem__, map(slice, [0, *stops], stops))))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of several texts."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self) if split else set()
+        found = [list(map(self.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
         if new:
             self.learn(new)
-        look = self.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        return [b"".join(ids if None not in ids else [self[w] if x is None else x for w, x in zip(words, ids)]) for words, ids in zip(split, found)]
 
 
 def word_ids(path: str | None) -> WordIds:
