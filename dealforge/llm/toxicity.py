@@ -4,29 +4,30 @@ Five transducers read the words of a clause and are composed into one machine: o
 each for insults, threats, targets, negation and reported speech. An insult or
 threat is matched with its weight, which grows with a target near it and shrinks
 under negation or in reported speech; the clause's score is the sum of its matches.
-Insult terms and their weights are learned from labelled rows, and a logistic curve
-maps a document's sum to 0..1.
+Insult terms and their weights are learned from labelled rows: words, and beginnings
+of words, which stand for all their forms. A logistic curve maps a document's sum to
+0..1.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import held_out, read_table, scratch
-from dealforge.llm.common import map_columns
+from dealforge.llm.common import held_out, map_columns, read_table, scratch
 
 #: Labelled rows to learn from: all up to this many, else those of least hash.
 SAMPLE = 20_000
 MAX_TERMS = 5_000
-#: A term needs this share of the toxic texts (and MIN_TEXTS), and this log ratio.
-MIN_SHARE = 0.005
-MIN_TEXTS = 3
-MIN_LOG_RATIO = 2.5
+#: A term needs this share of the toxic texts (and MIN_TEXTS), and this log ratio (few clean texts bound it lower).
+MIN_SHARE = 0.01
+MIN_TEXTS = 4
+MIN_LOG_RATIO = 4.0
 PREDICT = 0.7
 
 # Words of the grammar's closed classes in English, German, French and Spanish.
@@ -34,6 +35,9 @@ THREATS = {"kill", "die", "hurt", "destroy", "murder", "attack", "beat", "töten
 TARGETS = {"you", "your", "yours", "yourself", "u", "ur", "they", "them", "he", "she", "du", "dich", "dir", "dein", "ihr", "euch", "tu", "toi", "te", "vous", "ton", "votre", "usted", "ustedes", "ti", "vosotros"}
 NEGATIONS = {"not", "never", "no", "isn't", "aren't", "don't", "nicht", "nie", "kein", "keine", "pas", "jamais", "nunca", "jamás"}
 REPORTS = {"said", "says", "wrote", "quoted", "called", "claimed", "reported", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"}
+#: Lengths of the beginnings of words that can be terms; such a term ends in a star.
+STEMS = (5, 6, 7)
+CACHE_WORDS = 500_000
 #: How a match's weight changes near a target, under negation, and in reported speech.
 TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 1.25, 0.7, 0.8
 #: Words over which a negation or a target reaches.
@@ -60,33 +64,48 @@ class State:
     reported: bool = False
 
 
+def forms(word: str) -> list[str]:
+    """The terms that a word can match: itself and its beginnings."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+
+
+class Learned(dict):
+    """The learned weight of each word seen, 0 for most; emptied when full."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        w = self[word] = max(self.weights.get(form, 0.0) for form in forms(word))
+        return w
+
+
 class Grammar:
     """The composition of the five transducers over one clause."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        self.arcs = weights.keys() | THREATS | TARGETS | NEGATIONS | REPORTS
-
-    def weight(self, word: str) -> float:
-        """Of insults what was learned; of threats at least half, which a target completes."""
-        return self.weights.get(word, 0.5 if word in THREATS else 0.0)
-
-    def step(self, state: State, word: str) -> tuple[State, float]:
-        """One transition; the output is the weight of a match that ends here."""
-        out = 0.0
-        if weight := self.weight(word):
-            near = state.target <= REACH
-            if word in self.weights or near:
-                out = weight * (TARGET_FACTOR if near else 1.0) * (NEGATION_FACTOR if state.negation <= REACH else 1.0) * (REPORT_FACTOR if state.reported else 1.0)
-        far = REACH + 1
+        self.learned = Learned(weights)
+
+    def step(self, state: State, word: str, learned: float) -> tuple[State, float]:
+        """One transition; the output is the weight of a match that ends here.
+
+        An insult weighs what was learned; a threat half at least, which a target completes.
+        """
+        near, far, out = state.target <= REACH, REACH + 1, 0.0
+        if learned or (near and word in THREATS):
+            out = (learned or 0.5) * (TARGET_FACTOR if near else 1.0) * (NEGATION_FACTOR if state.negation <= REACH else 1.0) * (REPORT_FACTOR if state.reported else 1.0)
         return State(1 if word in TARGETS else min(far, state.target + 1), 1 if word in NEGATIONS else min(far, state.negation + 1), state.reported or word in REPORTS), out
 
     def clause(self, found: list[str]) -> float:
-        if self.weights.keys().isdisjoint(found) and THREATS.isdisjoint(found):
+        learned = list(map(self.learned.__getitem__, found))
+        if not any(learned) and THREATS.isdisjoint(found):
             return 0.0
         state, total = State(), 0.0
-        for word in found:
-            state, out = self.step(state, word)
+        for word, weight in zip(found, learned):
+            state, out = self.step(state, word, weight)
             total += out
         return total
 
@@ -109,20 +128,19 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
     """Weights of the terms that mark toxic texts: log ratios of the shares of texts that hold them."""
 
     def work(cols):
-        out: dict = {"term": [], "toxic": []}
+        counts: tuple[Counter, Counter] = (Counter(), Counter())  # of clean and of toxic texts
         for text, toxic in zip(cols["text"], cols["toxic"]):
-            terms = set(TOKEN.findall(text.lower()))
-            out["term"] += terms
-            out["toxic"] += [toxic] * len(terms)
-        return out
+            counts[toxic > 0].update({form for word in set(TOKEN.findall(text.lower())) for form in forms(word)})
+        terms = list(counts[0] | counts[1])
+        return {"term": terms, "t": [counts[1][x] for x in terms], "c": [counts[0][x] for x in terms]}
 
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("all")).first()
     toxic, clean = totals["toxic"], totals["all"] - totals["toxic"]
     if not toxic or not clean:
         return {}
-    counts = map_columns(rows, work, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = map_columns(rows, work, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    terms = counts.withColumn("ratio", ratio).filter((F.col("t") >= max(MIN_TEXTS, MIN_SHARE * toxic)) & (F.col("ratio") >= MIN_LOG_RATIO) & (F.col("t") > F.col("c")))
+    terms = counts.withColumn("ratio", ratio).filter((F.col("t") >= max(MIN_TEXTS, MIN_SHARE * toxic)) & (F.col("ratio") >= min(MIN_LOG_RATIO, math.log(clean + 1))) & (F.col("t") > F.col("c")))
     return {r["term"]: r["ratio"] for r in terms.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()}
 
 
