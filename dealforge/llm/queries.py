@@ -5,7 +5,7 @@ from dealforge.llm.mixing import OP1_SQL, op1_mixing
 from dealforge.llm.language import op5_language_id
 from dealforge.llm.neardup import op6_minhash_near_dedup
 from dealforge.llm.packing import op9_best_fit_packing
-from dealforge.llm.pii import op8_pii
+from dealforge.llm.pii import OP8_SQL, op8_pii
 from dealforge.llm.quality import OP10_SQL, op10_quality_rules
 from dealforge.llm.secrets import op3_secret_scans
 from dealforge.llm.token_counts import op4_token_counts
@@ -15,4 +15,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_mixing, op2_fingerprints, op3_secret_scans, op4_token_counts, op5_language_id, op6_minhash_near_dedup, op7_toxicity, op8_pii, op9_best_fit_packing, op10_quality_rules)
 }
-ORACLE = {"op1_mixing": OP1_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE = {"op1_mixing": OP1_SQL, "op8_pii": OP8_SQL, "op10_quality_rules": OP10_SQL}
