@@ -5,10 +5,11 @@ phone numbers. Corpus co-occurrence then tells how strongly the terms around an
 entity reveal it. In documents, p(c) is the share that holds entity c, p(t) the share
 that holds term t, and PMI(c; t) = log(p(c, t) / (p(c) p(t))) is compared with the
 information of c, -log p(c): a ratio of 1 means that whoever reads t knows c. Terms
-above a first threshold are generalised, those above a second are removed.
+above a first threshold are generalised, those above a second are removed, wherever
+they stand in a text.
 
-All of it is DataFrame expressions. No text is shuffled but those of documents that
-hold an entity.
+All of it is DataFrame expressions. Terms are counted over whole documents. The query
+op8_pii alone looks no further than CONTEXT from an entity, as its SQL does.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ PART = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{4,}"
 #: Added kinds: terms that are generalised, terms that are removed.
 GENERALISED, REMOVED = "term", "removed"
-#: Code points on either side of an entity in which terms are looked for.
+#: Code points on either side of an entity in which the query op8_pii and its SQL look for terms.
 CONTEXT = 48
 #: Documents that an entity and a term must share, and the ratios of PMI to information.
 MIN_DOCS = 3
@@ -124,21 +125,80 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, min_docs: int, generalis
     return joined.filter(F.col("of_value") < F.col("total")).withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= generalise).select("value", "term", "ratio")
 
 
-def find_personal_data(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def blanked(text: Column, spans: Column) -> Column:
+    """text with blanks for the code points of its spans: what is left stands where it stood."""
+    part = lambda s, x: F.array(F.substring(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])), F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - F.greatest(s["at"], x["start"]))))
+    state = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], part(s, x)).alias("out")),
+    )
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def told_places(text: Column, told: Column) -> Column:
+    """Every place of a told term: array of (start, end, ratio). told: map of terms to ratios."""
+    found, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    place = lambda s, x, ratio: F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"), ratio.alias("ratio"))
+    ratio = lambda x: F.try_element_at(told, F.lower(x["m"]))
+    return F.aggregate(
+        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ratio:double>>").alias("out")),
+        lambda s, x: F.struct(
+            (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
+            F.when(ratio(x).isNotNull(), F.array_append(s["out"], place(s, x, ratio(x)))).otherwise(s["out"]).alias("out"),
+        ),
+    )["out"]
+
+
+def telling_terms(based: DataFrame, outside: Column, min_docs: int, generalise: float) -> DataFrame:
+    """__row, __told: for the rows of based that hold disclosing terms, a map of these to their largest ratio.
+
+    Shares are of all rows; a row holds the terms that stand outside its entities. An
+    entity of fewer than min_docs rows shares as few with any term, so that its pairs
+    need no counting. All counts are combined in each task before they are dealt out.
+    """
+    lowered = lambda terms: F.array_distinct(F.transform(F.array_distinct(terms), F.lower))
+    terms = lowered(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)))
+    total = based.select("__row").agg(F.count("*").alias("total"))
+    held = based.filter(F.size("__base") > 0).select("__row", F.explode(F.array_distinct(F.transform("__base", lambda s: s["value"]))).alias("value"))
+    of_value = scratch(held.groupBy("value").agg(F.count("*").alias("of_value")).filter(F.col("of_value") >= min_docs))
+    values = held.join(of_value.select("value"), "value", "left_semi").groupBy(F.col("__row").alias("__holds")).agg(F.collect_list("value").alias("values"))  # of one document
+    shared = based.filter(F.size("__base") > 0).join(values, F.col("__row") == F.col("__holds")).select("values", terms.alias("terms"))
+    pairs = shared.select("values", F.explode("terms").alias("term")).select("term", F.explode("values").alias("value"))
+    both = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_docs))
+    each = based.select("__row", F.explode(terms).alias("t_term"))
+    of_term = each.groupBy("t_term").agg(F.count("*").alias("of_term"))
+    joined = both.join(of_value, "value").join(of_term, F.col("term") == F.col("t_term")).crossJoin(F.broadcast(total))
+    ratio = F.log(F.col("both") * F.col("total") / (F.col("of_value") * F.col("of_term"))) / F.log(F.col("total") / F.col("of_value"))
+    told = joined.filter(F.col("of_value") < F.col("total")).withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= generalise)
+    told = scratch(told.groupBy("term").agg(F.max("ratio").alias("ratio")))
+    hit = each.join(told, F.col("t_term") == F.col("term")).groupBy("__row").agg(F.collect_list(F.struct("term", "ratio")).alias("told"))  # of one document
+    return hit.select("__row", F.map_from_entries("told").alias("__told"))
+
+
+def find_personal_data(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE, near: bool = False) -> DataFrame:
     """docs with __spans: array of (start, rank, kind, end), base and added, sorted.
 
-    docs must have text; null counts as empty. A row without an entity gets an empty
-    array: terms are only touched in the context of an entity that they reveal.
-    Repeated rows count as documents each and get equal spans.
+    docs must have text; null counts as empty. Every occurrence of a disclosing term is
+    a span, also in rows without an entity. Repeated rows count as documents each and
+    get equal spans. With near, terms are looked for within CONTEXT of an entity only.
     """
     own = docs.columns
     text = F.coalesce("text", F.lit(""))
     based = scratch(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__base", entities(text)))
     base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    if not near:
+        outside = blanked(text, F.col("__base"))
+        told = telling_terms(based, outside, min_docs, generalise).withColumnRenamed("__row", "__hit")
+        removed = lambda p: p["ratio"] >= remove
+        span = lambda p: F.struct(p["start"].alias("start"), F.when(removed(p), 5).otherwise(4).alias("rank"), F.when(removed(p), F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("kind"), p["end"].alias("end"))
+        added = F.when(F.col("__told").isNotNull(), F.transform(told_places(outside, F.col("__told")), span)).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>"))
+        return based.join(told, F.col("__row") == F.col("__hit"), "left").select(*own, F.array_sort(F.concat(base, added)).alias("__spans"))
     with_ = based.filter(F.size("__base") > 0)
     span = with_.select(F.col("__row").alias("row"), "text", F.explode("__base").alias("s"))
-    near = span.select("row", F.col("s.value").alias("value"), F.explode(terms_around(F.col("text"), F.col("s"))).alias("t"))
-    found = scratch(near.select("row", "value", "t.term", "t.start", "t.end"))
+    around = span.select("row", F.col("s.value").alias("value"), F.explode(terms_around(F.col("text"), F.col("s"))).alias("t"))
+    found = scratch(around.select("row", "value", "t.term", "t.start", "t.end"))
     told = disclosing_terms(found, based.select("text"), min_docs, generalise).withColumnsRenamed({"value": "d_value", "term": "d_term"})
     hit = found.join(told, (F.col("value") == F.col("d_value")) & (F.col("term") == F.col("d_term")))
     hit = hit.groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
@@ -170,13 +230,13 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(F.array_join(state["out"], ""), rest)).otherwise(text)
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
+def personal_data(docs: DataFrame, near: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of docs.
 
     A null or empty text has no spans (the digest of the empty list); an empty table
     gives no rows; other columns than doc_id and text are not read.
     """
-    found = find_personal_data(docs.select("doc_id", "text"))
+    found = find_personal_data(docs.select("doc_id", "text"), near=near)
     base = F.filter("__spans", lambda s: s["rank"] < len(PATTERNS))
     of_kind = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in PATTERNS]
@@ -192,7 +252,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark, sf_dir):
-    return personal_data(read_table(spark, sf_dir, "documents"))
+    return personal_data(read_table(spark, sf_dir, "documents"), near=True)
 
 
 _POSITIONS = "len(array_to_string(gs[1:i], '')) + len(array_to_string(ms[1:i - 1], ''))"
