@@ -40,7 +40,7 @@ STEMS = (5, 6, 7)
 CACHE_WORDS = 500_000
 #: How a match's weight changes near a target, under negation, and in reported speech.
 TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 1.25, 0.7, 0.8
-#: Words over which a negation or a target reaches.
+#: Words over which a negation reaches, and a target on either side.
 REACH = 3
 
 CLAUSE = re.compile(r"[^.!?;:\n]+")
@@ -57,11 +57,16 @@ def clauses(text: str):
 
 @dataclass(frozen=True)
 class State:
-    """The composed machine's state: words since a target and a negation; reported speech."""
+    """The composed machine's state: words since a target and a negation; reported speech; what a target may complete.
+
+    pending: of each threat or insult without a target so far, the words since it and
+    the weight that a target adds, under the factors of the place where it stood.
+    """
 
     target: int = REACH + 1
     negation: int = REACH + 1
     reported: bool = False
+    pending: tuple[tuple[int, float], ...] = ()
 
 
 def forms(word: str) -> list[str]:
@@ -90,14 +95,23 @@ class Grammar:
         self.learned = Learned(weights)
 
     def step(self, state: State, word: str, learned: float) -> tuple[State, float]:
-        """One transition; the output is the weight of a match that ends here.
+        """One transition; the output is the weight of the matches that end here.
 
-        An insult weighs what was learned; a threat half at least, which a target completes.
+        An insult weighs what was learned, and more with a target on either side; a
+        threat half at least, which a target on either side completes.
         """
         near, far, out = state.target <= REACH, REACH + 1, 0.0
-        if learned or (near and word in THREATS):
-            out = (learned or 0.5) * (TARGET_FACTOR if near else 1.0) * (NEGATION_FACTOR if state.negation <= REACH else 1.0) * (REPORT_FACTOR if state.reported else 1.0)
-        return State(1 if word in TARGETS else min(far, state.target + 1), 1 if word in NEGATIONS else min(far, state.negation + 1), state.reported or word in REPORTS), out
+        pending = tuple((k + 1, w) for k, w in state.pending if k < REACH) if state.pending else ()
+        if pending and word in TARGETS:
+            out, pending = sum(w for _, w in pending), ()
+        if learned or word in THREATS:
+            weight = (learned or 0.5) * (NEGATION_FACTOR if state.negation <= REACH else 1.0) * (REPORT_FACTOR if state.reported else 1.0)
+            if near:
+                out += weight * TARGET_FACTOR
+            else:
+                out += weight if learned else 0.0
+                pending += ((0, weight * (TARGET_FACTOR - bool(learned))),)
+        return State(1 if word in TARGETS else min(far, state.target + 1), 1 if word in NEGATIONS else min(far, state.negation + 1), state.reported or word in REPORTS, pending), out
 
     def clause(self, found: list[str]) -> float:
         learned = list(map(self.learned.__getitem__, found))
