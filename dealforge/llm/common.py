@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,26 +21,69 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder is made
-    and set, so that later calls find the same one.
+    Where the setting is absent, a session on one machine makes a temporary folder
+    and sets it, so that later calls find the same one; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="dealforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: The tables written in each open scratch_space, innermost last.
+_spaces: list[list[str]] = []
+
+
 def scratch(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the tasks after this table only.
+    Cuts the lineage: a lost executor costs the tasks after this table only. The
+    table stays until the enclosing scratch_space ends, or for whoever reads the
+    result if there is none.
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    if _spaces:
+        _spaces[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by whatever file system its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_space(spark: SparkSession):
+    """Tables that scratch writes inside are deleted at the end: what is to stay is written by then."""
+    _spaces.append([])
+    try:
+        yield
+    finally:
+        for path in _spaces.pop():
+            delete(spark, path)
+
+
+def kept_table(build, spark: SparkSession) -> DataFrame:
+    """The table that build() describes, written in the shared folder; build's own tables are deleted."""
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    with scratch_space(spark):
+        df = build()
+        df.write.parquet(path)
+    if _spaces:
+        _spaces[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for a null text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", -1), "")

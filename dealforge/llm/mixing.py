@@ -9,10 +9,10 @@ is sorted, and no task gets more than one row a source, bucket and map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import n_words, scratch
+from dealforge.llm.common import WORD, n_words, scratch
 
 LEVEL_BITS = 12
 LEVELS = 3
@@ -21,34 +21,46 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 
 
-def doc_hash(doc_id):
-    """36 uniform bits from an id; null ids share one value."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 9), 16, 10).cast("long")
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """36 uniform bits from an id; a row without an id takes them from its text."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 9), 16, 10).cast("long")
+
+
+def ranked_sources(by_source: DataFrame) -> DataFrame:
+    """by_source with `rank`, from 0 in code point order, null last.
+
+    Ranges of sources are numbered each by itself and moved by the sizes of the
+    ranges before: the only window over all rows has one row a range.
+    """
+    dealt = scratch(by_source.repartitionByRange(F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("b_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(F.col("part").alias("b_part")).agg(F.count("*").alias("n")).select("b_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1
+    return dealt.join(sizes, F.col("part") == F.col("b_part")).select(*by_source.columns, (inside + F.col("before")).alias("rank"))
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """source, source_size, target, from rows of (source, size).
 
-    Targets share the sum of all sizes by weight. One above max_repeats times its
-    source's size stops there, and the excess goes to the others by weight. In
-    order of ratio = cap / weight the stopped sources come first, and the common
-    level is the largest of the levels that the prefixes leave.
+    Targets share the sum of all sizes by weight. A source whose share lies above
+    max_repeats times its size stops there, and what it leaves is shared anew by
+    weight among the others, until none is above: one row of sums a turn comes to
+    the driver, whatever the number of sources.
     """
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy("ratio", "rank")
-    table = (
-        by_source.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-        .withColumn("cap", F.col("source_size") * F.lit(float(max_repeats)))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("stopped_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("stopped_before")) / F.col("weight_left"))
-        .withColumn("last_level", F.max("level").over(everything))
-    )
-    return table.select("source", "source_size", F.when(F.col("ratio") < F.col("level"), F.col("cap")).otherwise(F.col("weight") * F.col("last_level")).alias("target"))
+    ranked = ranked_sources(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = scratch(ranked.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_repeats))).alias("cap")))
+    everything = table.agg(F.sum("source_size")).first()[0]
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("cap") / F.col("weight") < F.lit(level)
+        n, capped, left = table.agg(F.count_if(stops), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        if n == stopped or not left:
+            break
+        stopped, level = n, (everything - (capped or 0.0)) / left
+    target = F.when(F.col("cap") / F.col("weight") < F.lit(level), F.col("cap")).otherwise(F.col("weight") * F.lit(level))
+    return table.select("source", "source_size", target.alias("target"))
 
 
 def hash_thresholds(sized: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits: int = LEVEL_BITS) -> DataFrame:
@@ -80,39 +92,61 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame, levels: int = LEVELS,
     return found.select("b_source", (F.col("prefix") + F.col("exact").cast("long")).alias("threshold"))
 
 
+def mixing_plan(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """p_source, source_size, target, rounds, threshold: one row a source of (source, size, hash).
+
+    Each document is taken `rounds` times, and once more if its hash lies below the threshold.
+    """
+    targets = scratch(source_targets(sized, weights, max_repeats))
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
+    thresholds = hash_thresholds(sized, plan.select("source", "budget"))
+    plan = plan.join(thresholds, F.col("source").eqNullSafe(F.col("b_source")), "left").withColumnRenamed("source", "p_source")
+    return scratch(plan.select("p_source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0)).alias("threshold")))
+
+
+def copies_of(has_words: Column, hash_: Column, max_repeats: int) -> Column:
+    """How often the mix takes a document, beside the plan of its source."""
+    return F.when(has_words, F.least(F.lit(max_repeats).cast("long"), F.col("rounds") + (hash_ < F.col("threshold")).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("hash"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row per row of docs.
 
     size counts words; copies is how often the mix takes the document (0 to
     max_repeats); taken = copies * size. A source whose target is above its size
     takes whole rounds of all its documents first. A null source is a source of
-    its own, ordered last; a null or blank text has size 0 and takes no words (its
-    copies follow its hash like any other's); an empty table gives an empty result;
-    repeated rows of one id are taken alike; other columns of docs are not read.
+    its own, ordered last; a null or blank text has size 0 and is not taken; a null
+    id is taken by its text's hash; an empty table gives an empty result; repeated
+    rows are taken alike, and so are rows of one id in one source; a very long text
+    counts whole; other columns of docs are not read.
     """
-    sized = scratch(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("hash")))
-    targets = scratch(source_targets(sized, weights, max_repeats))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = targets.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    thresholds = hash_thresholds(sized, plan.select("source", "budget"))
-    plan = plan.join(thresholds, F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source").withColumnRenamed("source", "p_source")
-    plan = scratch(plan)
-    copies = F.col("rounds") + (F.col("hash") < F.coalesce("threshold", F.lit(0))).cast("long")
+    sized = scratch(sizes_of(docs, id_col, text_col, source_col))
+    plan = mixing_plan(sized, weights, max_repeats)
     return (
         sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-        .withColumn("copies", copies)
+        .withColumn("copies", copies_of(F.col("size") > 0, F.col("hash"), max_repeats))
         .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs that the mix takes, repeated as often as it takes them.
 
-    All rows of an id are taken alike, so the copies join by id; a null id joins
-    the null id. Columns are those of docs.
+    Each row finds its copies by its own source, hash and text: only the plan, one
+    row a source, is joined. Rows and columns are those of docs; see mix_sources for
+    nulls, repeats and empty tables. Columns of docs may have any names.
     """
-    plan = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__id"))).withColumn("__round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    plan = mixing_plan(scratch(sizes_of(docs, id_col, text_col, source_col)), weights, max_repeats)
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col(source_col).alias("source"))
+    text = F.col("own")[text_col]
+    copies = copies_of(F.coalesce(text.rlike(WORD), F.lit(False)), doc_hash(F.col("own")[id_col], text), max_repeats)
+    joined = own.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", copies).filter("copies > 0")
+    return joined.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")
 
 
 def op1_mixing(spark, sf_dir):
@@ -123,7 +157,7 @@ def op1_mixing(spark, sf_dir):
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 9))::BIGINT AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM src),
 weighted AS (SELECT *, ([5, 2, 1])[((rk - 1) % 3 + 1)::INT] AS w, source_size * 3.0::DOUBLE AS cap FROM ranked),
@@ -139,6 +173,6 @@ edges AS (
   SELECT p.source, min(struct_pack(h := r.h, upto := r.upto, words := r.words)) AS e, any_value(p.target - p.rounds * p.source_size) AS budget
   FROM running r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source WHERE r.upto > p.target - p.rounds * p.source_size GROUP BY p.source),
 thresholds AS (SELECT source, e.h + CASE WHEN e.upto - budget < budget - (e.upto - e.words) THEN 1 ELSE 0 END AS threshold FROM edges)
-SELECT s.doc_id, s.size, p.source_size, p.target, ((p.rounds + CASE WHEN s.h < coalesce(t.threshold, 0) THEN 1 ELSE 0 END) * s.size)::BIGINT AS taken
+SELECT s.doc_id, s.size, p.source_size, p.target, (least(3, p.rounds + CASE WHEN s.h < coalesce(t.threshold, 0) THEN 1 ELSE 0 END) * s.size)::BIGINT AS taken
 FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN thresholds t ON s.source IS NOT DISTINCT FROM t.source
 """

@@ -1,15 +1,17 @@
 """Operator 8: personal data, by patterns and by information-theoretic sanitisation.
 
 Four patterns find the protected entities: e-mail addresses, IP addresses, card and
-phone numbers. Corpus co-occurrence then tells how strongly the terms around an
-entity reveal it. In documents, p(c) is the share that holds entity c, p(t) the share
-that holds term t, and PMI(c; t) = log(p(c, t) / (p(c) p(t))) is compared with the
-information of c, -log p(c): a ratio of 1 means that whoever reads t knows c. Terms
-above a first threshold are generalised, those above a second are removed, wherever
-they stand in a text.
-
-All of it is DataFrame expressions. Terms are counted over whole documents. The query
-op8_pii alone looks no further than CONTEXT from an entity, as its SQL does.
+phone numbers. Corpus co-occurrence then tells how strongly the terms of a document
+reveal an entity, be it one value or a kind of them. Over all documents, p(c) is the
+share that holds entity c, p(t) the share that holds term t outside its entities, and
+PMI(c; t) = log(p(c, t) / (p(c) p(t))) is compared with the information of c,
+-log p(c): a ratio of 1 means that whoever reads t knows c. The ratio is smoothed by
+b / (b + SMOOTHING), b the number of documents that hold both, so that a chance
+meeting says little and no least number of documents is set. Terms above a first threshold are
+generalised to the nearest broader term that does not disclose, those above a second
+are removed, wherever they stand in a text.
+
+All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import read_table, scratch
+from dealforge.llm.common import let, read_table, scratch
 
 #: The base kinds in the order in which ties are listed, and their patterns.
 PATTERNS = {
@@ -38,26 +40,45 @@ PART = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{4,}"
 #: Added kinds: terms that are generalised, terms that are removed.
 GENERALISED, REMOVED = "term", "removed"
-#: Code points on either side of an entity in which the query op8_pii and its SQL look for terms.
-CONTEXT = 48
-#: Documents that an entity and a term must share, and the ratios of PMI to information.
-MIN_DOCS = 3
+#: Thresholds of the smoothed ratio.
 GENERALISE = 0.8
 REMOVE = 0.95
+#: Half a document, the weight that an even prior has in an estimate of a share.
+SMOOTHING = 0.5
+#: Matches that are placed in one go; see running().
+CHUNK = 256
+
+#: Terms and the broader terms that may stand for them.
+HIERARCHY = {
+    "london": "england", "manchester": "england", "england": "europe", "berlin": "germany", "munich": "germany", "germany": "europe", "paris": "france", "lyon": "france", "france": "europe",
+    "madrid": "spain", "sevilla": "spain", "spain": "europe", "chicago": "america", "boston": "america", "mother": "relative", "father": "relative", "sister": "relative", "brother": "relative",
+    "mutter": "verwandte", "vater": "verwandte", "madre": "pariente", "padre": "pariente", "monday": "weekday", "tuesday": "weekday", "wednesday": "weekday", "thursday": "weekday", "friday": "weekday",
+    "saturday": "weekday", "sunday": "weekday", "january": "month", "february": "month", "march": "month", "april": "month", "june": "month", "july": "month", "august": "month", "september": "month",
+    "october": "month", "november": "month", "december": "month", "doctor": "profession", "nurse": "profession", "lawyer": "profession", "teacher": "profession", "engineer": "profession",
+    "mobile": "phone", "phone": "device", "telephone": "phone", "mailbox": "email", "email": "contact", "visa": "card", "mastercard": "card", "server": "computer", "computer": "device",
+}
+
+
+def before_each(values: Column, zero: Column, add) -> Column:
+    """What add makes of zero and all items before each item of an array.
+
+    Chunks are folded first and then each chunk from where the ones before it ended,
+    so that no array is copied once per item.
+    """
+    fold = lambda items, first: F.aggregate(
+        items, F.struct(first.alias("now"), F.filter(F.array(first), lambda _: F.lit(False)).alias("out")), lambda s, x: F.struct(add(s["now"], x).alias("now"), F.array_append(s["out"], s["now"]).alias("out"))
+    )["out"]
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK)))
+    folded = lambda chunks: F.flatten(F.zip_with(chunks, fold(F.transform(chunks, lambda c: F.aggregate(c, zero, add)), zero), fold))
+    return let(values, lambda v: let(parts(v), folded))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches in order: array of (m, start, end) in code points."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    spans = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.array_append(s["out"], F.struct(x["m"].alias("m"), (s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"))).alias("out"),
-        ),
-    )
-    return spans["out"]
+    one = lambda x, at: F.struct(x["m"].alias("m"), (at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["m"])).alias("end"))
+    zipped = lambda found: F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+    before = lambda pieces: before_each(F.transform(pieces, lambda x: F.length(x["gap"]) + F.length(x["m"])), F.lit(0), lambda s, x: s + x)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(zipped(found), lambda pieces: F.zip_with(pieces, before(pieces), one)))
 
 
 def digits(m: Column) -> Column:
@@ -97,116 +118,98 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*[spans_of(text, rank, kind) for rank, kind in enumerate(FAST)]))
 
 
-def terms_around(text: Column, span: Column) -> Column:
-    """The terms within CONTEXT of a span: array of (term, start, end); words that the limit cuts are none."""
-    from_ = F.greatest(F.lit(0), span["start"] - CONTEXT)
-    before = F.substring(text, from_ + 1, span["start"] - from_)
-    cut = F.when(from_ > 0, F.length(before) - F.length(F.regexp_replace(before, r"^\p{L}+", ""))).otherwise(0)
-    after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    whole = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    move = lambda found, by: F.transform(found, lambda x: F.struct(F.lower(x["m"]).alias("term"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end")))
-    left = move(matches(F.substring(before, cut + 1, F.length(before)), TERM), from_ + cut)
-    return F.concat(left, move(matches(whole, TERM), span["end"]))
-
+def replaced(text: Column, spans: Column, put) -> Column:
+    """text with put(span, reach) for each of its spans, sorted by start; reach is where the spans before end.
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, min_docs: int, generalise: float) -> DataFrame:
-    """value, term, ratio: the terms that reveal an entity at least as strongly as `generalise`.
-
-    found: row, value, term. Shares are of all rows of docs.
+    What lies under several spans goes once.
     """
-    total = docs.select(F.count("*").alias("total"))
-    both = found.select("row", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_docs)
-    both = scratch(both)
-    of_value = found.select("row", "value").distinct().groupBy(F.col("value").alias("v_value")).agg(F.count("*").alias("of_value"))
-    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("t_term"))
-    of_term = each.groupBy("t_term").agg(F.count("*").alias("of_term"))  # combined in each task before it is dealt out
-    joined = both.join(of_value, F.col("value") == F.col("v_value")).join(of_term, F.col("term") == F.col("t_term")).crossJoin(F.broadcast(total))
-    ratio = F.log(F.col("both") * F.col("total") / (F.col("of_value") * F.col("of_term"))) / F.log(F.col("total") / F.col("of_value"))
-    return joined.filter(F.col("of_value") < F.col("total")).withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= generalise).select("value", "term", "ratio")
+    kept = lambda x, reach: F.concat(F.substring(text, reach + 1, F.greatest(F.lit(0), x["start"] - reach)), put(x, reach))
+    ends = lambda v: F.transform(v, lambda x: x["end"])
+    body = lambda v: F.concat(F.array_join(F.zip_with(v, before_each(ends(v), F.lit(0), lambda s, x: F.greatest(s, x)), kept), ""), F.substring(text, F.array_max(ends(v)) + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, let(spans, body)).otherwise(text)
 
 
 def blanked(text: Column, spans: Column) -> Column:
     """text with blanks for the code points of its spans: what is left stands where it stood."""
-    part = lambda s, x: F.array(F.substring(text, s["at"] + 1, F.greatest(F.lit(0), x["start"] - s["at"])), F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - F.greatest(s["at"], x["start"]))))
-    state = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], part(s, x)).alias("out")),
-    )
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))).otherwise(text)
-
-
-def told_places(text: Column, told: Column) -> Column:
-    """Every place of a told term: array of (start, end, ratio). told: map of terms to ratios."""
-    found, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
-    place = lambda s, x, ratio: F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"), ratio.alias("ratio"))
-    ratio = lambda x: F.try_element_at(told, F.lower(x["m"]))
-    return F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ratio:double>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.when(ratio(x).isNotNull(), F.array_append(s["out"], place(s, x, ratio(x)))).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
+    return replaced(text, spans, lambda x, reach: F.repeat(F.lit(" "), F.greatest(F.lit(0), x["end"] - F.greatest(reach, x["start"]))))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct lower-cased terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), F.lower))
+
+
+def smoothed_ratio(both: Column, of_value: Column, of_term: Column, total: Column) -> Column:
+    """PMI of an entity and a term over the entity's information, smoothed."""
+    return F.round(F.log(both * total / (of_value * of_term)) / F.log(total / of_value) * (both / (both + SMOOTHING)), 6)
 
 
-def telling_terms(based: DataFrame, outside: Column, min_docs: int, generalise: float) -> DataFrame:
-    """__row, __told: for the rows of based that hold disclosing terms, a map of these to their largest ratio.
+def disclosing_terms(based: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """term, ratio: the terms that reveal some entity at least as strongly as `generalise`, by the largest ratio.
 
-    Shares are of all rows; a row holds the terms that stand outside its entities. An
-    entity of fewer than min_docs rows shares as few with any term, so that its pairs
-    need no counting. All counts are combined in each task before they are dealt out.
+    based: row, base (spans), outside (the text without them). An entity is a value
+    (email:a@b.c) or a kind of them (email). The smoothing bounds the ratio of
+    whatever meets in b documents by b / (b + SMOOTHING), so that entities and pairs of
+    fewer documents than the threshold asks for need no further counting. All
+    counts are combined in each task before they are dealt out.
     """
-    lowered = lambda terms: F.array_distinct(F.transform(F.array_distinct(terms), F.lower))
-    terms = lowered(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)))
-    total = based.select("__row").agg(F.count("*").alias("total"))
-    held = based.filter(F.size("__base") > 0).select("__row", F.explode(F.array_distinct(F.transform("__base", lambda s: s["value"]))).alias("value"))
-    of_value = scratch(held.groupBy("value").agg(F.count("*").alias("of_value")).filter(F.col("of_value") >= min_docs))
-    values = held.join(of_value.select("value"), "value", "left_semi").groupBy(F.col("__row").alias("__holds")).agg(F.collect_list("value").alias("values"))  # of one document
-    shared = based.filter(F.size("__base") > 0).join(values, F.col("__row") == F.col("__holds")).select("values", terms.alias("terms"))
-    pairs = shared.select("values", F.explode("terms").alias("term")).select("term", F.explode("values").alias("value"))
-    both = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_docs))
-    each = based.select("__row", F.explode(terms).alias("t_term"))
-    of_term = each.groupBy("t_term").agg(F.count("*").alias("of_term"))
+    enough = lambda n: F.col(n) / (F.col(n) + SMOOTHING) >= generalise
+    names = lambda s: F.array(s["kind"], s["value"])
+    total = based.agg(F.count("*").alias("total"))
+    with_ = based.filter(F.size("base") > 0).withColumn("held", F.array_distinct(F.flatten(F.transform("base", names))))
+    of_value = scratch(with_.select(F.explode("held").alias("value")).groupBy("value").agg(F.count("*").alias("of_value")).filter(enough("of_value")))
+    held = with_.select("row", F.explode("held").alias("value")).join(of_value.select("value"), "value", "left_semi")
+    held = held.groupBy(F.col("row").alias("h_row")).agg(F.collect_list("value").alias("values"))  # of one document
+    pairs = with_.join(held, F.col("row") == F.col("h_row")).select("values", F.explode(terms_of(F.col("outside"))).alias("term")).select("term", F.explode("values").alias("value"))
+    both = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(enough("both")))
+    of_term = based.select(F.explode(terms_of(F.col("outside"))).alias("t_term")).groupBy("t_term").agg(F.count("*").alias("of_term"))
     joined = both.join(of_value, "value").join(of_term, F.col("term") == F.col("t_term")).crossJoin(F.broadcast(total))
-    ratio = F.log(F.col("both") * F.col("total") / (F.col("of_value") * F.col("of_term"))) / F.log(F.col("total") / F.col("of_value"))
-    told = joined.filter(F.col("of_value") < F.col("total")).withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") >= generalise)
-    told = scratch(told.groupBy("term").agg(F.max("ratio").alias("ratio")))
-    hit = each.join(told, F.col("t_term") == F.col("term")).groupBy("__row").agg(F.collect_list(F.struct("term", "ratio")).alias("told"))  # of one document
-    return hit.select("__row", F.map_from_entries("told").alias("__told"))
+    told = joined.filter("of_value < total").withColumn("ratio", smoothed_ratio(*map(F.col, ("both", "of_value", "of_term", "total"))))
+    return scratch(told.filter(F.col("ratio") >= generalise).groupBy("term").agg(F.max("ratio").alias("ratio")))
 
 
-def find_personal_data(docs: DataFrame, min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE, near: bool = False) -> DataFrame:
-    """docs with __spans: array of (start, rank, kind, end), base and added, sorted.
+def broader_terms(told: DataFrame, hierarchy: dict[str, str]) -> DataFrame:
+    """told with `broader`: the nearest broader term that is not told itself, or null."""
+    chains = {}
+    for term in hierarchy:
+        chain = [term]
+        while chain[-1] in hierarchy and hierarchy[chain[-1]] not in chain:
+            chain.append(hierarchy[chain[-1]])
+        chains[term] = chain[1:]
+    if not chains:
+        return told.withColumn("broader", F.lit(None).cast("string"))
+    steps = told.sparkSession.createDataFrame([(t, i, b) for t, chain in chains.items() for i, b in enumerate(chain)], "b_term string, step int, broader string")
+    free = steps.join(told.select(F.col("term").alias("x")), F.col("broader") == F.col("x"), "left_anti")
+    nearest = free.groupBy("b_term").agg(F.min_by("broader", "step").alias("broader"))
+    return told.join(nearest, F.col("term") == F.col("b_term"), "left").drop("b_term")
 
-    docs must have text; null counts as empty. Every occurrence of a disclosing term is
-    a span, also in rows without an entity. Repeated rows count as documents each and
-    get equal spans. With near, terms are looked for within CONTEXT of an entity only.
+
+SPAN = "struct<start:int,rank:int,kind:string,end:int,broader:string>"
+
+
+def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, hierarchy: dict[str, str] | None = None) -> DataFrame:
+    """own (a struct of all columns of docs), text, spans: one row per row of docs.
+
+    spans: array of (start, rank, kind, end, broader), base and added, sorted. docs
+    must have text; null counts as empty. Every occurrence of a disclosing term is a
+    span, also in rows without an entity. Repeated rows count as documents each and
+    get equal spans. Columns of docs may have any names; an empty table gives no rows.
     """
-    own = docs.columns
-    text = F.coalesce("text", F.lit(""))
-    based = scratch(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__base", entities(text)))
-    base = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
-    if not near:
-        outside = blanked(text, F.col("__base"))
-        told = telling_terms(based, outside, min_docs, generalise).withColumnRenamed("__row", "__hit")
-        removed = lambda p: p["ratio"] >= remove
-        span = lambda p: F.struct(p["start"].alias("start"), F.when(removed(p), 5).otherwise(4).alias("rank"), F.when(removed(p), F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("kind"), p["end"].alias("end"))
-        added = F.when(F.col("__told").isNotNull(), F.transform(told_places(outside, F.col("__told")), span)).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>"))
-        return based.join(told, F.col("__row") == F.col("__hit"), "left").select(*own, F.array_sort(F.concat(base, added)).alias("__spans"))
-    with_ = based.filter(F.size("__base") > 0)
-    span = with_.select(F.col("__row").alias("row"), "text", F.explode("__base").alias("s"))
-    around = span.select("row", F.col("s.value").alias("value"), F.explode(terms_around(F.col("text"), F.col("s"))).alias("t"))
-    found = scratch(around.select("row", "value", "t.term", "t.start", "t.end"))
-    told = disclosing_terms(found, based.select("text"), min_docs, generalise).withColumnsRenamed({"value": "d_value", "term": "d_term"})
-    hit = found.join(told, (F.col("value") == F.col("d_value")) & (F.col("term") == F.col("d_term")))
-    hit = hit.groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
-    kind = F.when(F.col("ratio") >= remove, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
-    added = hit.select("row", F.struct("start", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("rank"), kind.alias("kind"), "end").alias("span"))
-    added = added.groupBy(F.col("row").alias("__hit")).agg(F.collect_list("span").alias("__added"))  # of one document
-    joined = with_.join(added, F.col("__row") == F.col("__hit"), "left").select(*own, F.array_sort(F.concat(base, F.coalesce("__added", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))).alias("__spans"))
-    return joined.unionByName(based.filter(F.size("__base") == 0).select(*own, base.alias("__spans")))
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    based = scratch(own.select("*", F.monotonically_increasing_id().alias("row"), entities(F.col("text")).alias("base")))
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("broader")))
+    outside = blanked(F.col("text"), F.col("base"))
+    open_ = based.select("row", "base", outside.alias("outside"))
+    told = broader_terms(disclosing_terms(open_, generalise), HIERARCHY if hierarchy is None else hierarchy)
+    each = open_.select("row", F.explode(terms_of(F.col("outside"))).alias("t_term"))
+    hit = each.join(told, F.col("t_term") == F.col("term")).groupBy(F.col("row").alias("h_row"))
+    hit = hit.agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("ratio", "broader")))).alias("told"))  # of one document
+    known = lambda x: F.try_element_at("told", F.lower(x["m"]))
+    kind = lambda x: F.when(known(x)["ratio"] >= remove, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
+    span = lambda x: F.struct(x["start"].alias("start"), F.when(known(x)["ratio"] >= remove, 5).otherwise(4).alias("rank"), kind(x).alias("kind"), x["end"].alias("end"), known(x)["broader"].alias("broader"))
+    places = F.filter(matches(outside, TERM), lambda x: known(x).isNotNull())
+    added = F.when(F.col("told").isNotNull(), F.transform(places, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return based.join(hit, F.col("row") == F.col("h_row"), "left").select("own", "text", F.array_sort(F.concat(base, added)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -214,45 +217,48 @@ def listed(spans: Column) -> Column:
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind's mask; of overlapping spans the first one's stays.
+    """text with every span replaced; of overlapping spans the first one's replacement stays.
 
-    Removed terms leave nothing.
+    A base span gives way to the name of its kind in brackets, a generalised term to
+    its broader term or, if none is known, to the class of its written form. Removed
+    terms leave nothing.
     """
-    mask = lambda k: F.when(k == REMOVED, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
-    state = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), mask(x["kind"]))).alias("out"))).otherwise(
-            F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))
-        ),
-    )
-    rest = F.substring(text, state["at"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(state["out"], ""), rest)).otherwise(text)
-
-
-def personal_data(docs: DataFrame, near: bool = False) -> DataFrame:
+    named = F.lit(r"^\p{Lu}")
+    form = lambda x: F.when(F.regexp_like(F.substring(text, x["start"] + 1, F.lit(1)), named), "[NAME]").otherwise("[TERM]")
+    put = lambda x: F.when(x["kind"] == REMOVED, "").when(x["kind"] == GENERALISED, F.coalesce(x["broader"], form(x))).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    return replaced(text, spans, lambda x, reach: F.when(x["start"] >= reach, put(x)).otherwise(""))
+
+
+def personal_data(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of docs.
 
     A null or empty text has no spans (the digest of the empty list); an empty table
-    gives no rows; other columns than doc_id and text are not read.
+    gives no rows; repeated rows get equal spans; a null id stays null; ties in start
+    go by kind; other columns than doc_id and text are not read, whatever their names.
+    A very long text is searched whole.
     """
-    found = find_personal_data(docs.select("doc_id", "text"), near=near)
-    base = F.filter("__spans", lambda s: s["rank"] < len(PATTERNS))
-    of_kind = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long")
+    found = find_personal_data(docs.select("doc_id", "text"), **options).select("own.doc_id", "spans")
+    base = F.filter("spans", lambda s: s["rank"] < len(PATTERNS))
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with sanitised texts; n_chars, where there is one, follows. Other columns stay."""
-    found = find_personal_data(docs).withColumn("text", sanitised(F.col("text"), F.col("__spans")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+def mask_personal_data(docs: DataFrame, **options) -> DataFrame:
+    """docs with sanitised texts; n_chars, where there is one, follows. Other columns stay.
+
+    Null texts stay null. See find_personal_data for repeats and empty tables.
+    """
+    found = find_personal_data(docs, **options)
+    hit = F.size("spans") > 0
+    new = {"text": F.when(hit, sanitised(F.col("text"), F.col("spans"))).otherwise(F.col("own.text"))}
+    found = found.withColumn("new", new["text"])
+    out = {"text": F.col("new"), "n_chars": F.when(hit, F.length("new").cast("long")).otherwise(F.col("own")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*[out[c].alias(c) if c in out else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op8_pii(spark, sf_dir):
-    return personal_data(read_table(spark, sf_dir, "documents"), near=True)
+    return personal_data(read_table(spark, sf_dir, "documents"))
 
 
 _POSITIONS = "len(array_to_string(gs[1:i], '')) + len(array_to_string(ms[1:i - 1], ''))"
@@ -266,17 +272,18 @@ z AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS dg FROM y),
 b AS (SELECT rid, t, rank, kind, s, s + len(m) AS e, kind || ':' || CASE kind WHEN 'email' THEN lower(m) WHEN 'ip' THEN m ELSE dg END AS value FROM z WHERE CASE kind WHEN 'email' THEN true
   WHEN 'ip' THEN regexp_matches(m, '^{PART}(\.{PART}){{3}}$') WHEN 'phone' THEN len(dg) BETWEEN 9 AND 15
   ELSE len(dg) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, len(dg) + 1), lambda i: CASE WHEN (len(dg) - i) % 2 = 0 THEN {_DIGIT} WHEN {_DIGIT} > 4 THEN 2 * {_DIGIT} - 9 ELSE 2 * {_DIGIT} END)) % 10 = 0 END),
-w AS (SELECT rid, value, e, greatest(0, s - {CONTEXT}) AS f, substr(t, greatest(0, s - {CONTEXT}) + 1, least(s, {CONTEXT})) AS bf, substr(t, e + 1, {CONTEXT}) AS af FROM b),
-c AS (SELECT rid, value, CASE WHEN f > 0 THEN f + len(bf) - len(regexp_replace(bf, '^\p{{L}}+', '')) ELSE 0 END AS base, CASE WHEN f > 0 THEN regexp_replace(bf, '^\p{{L}}+', '') ELSE bf END AS txt FROM w
-  UNION ALL SELECT rid, value, e, CASE WHEN len(af) = {CONTEXT} THEN regexp_replace(af, '\p{{L}}+$', '') ELSE af END FROM w),
-g AS (SELECT rid, value, base, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, value, base, regexp_extract_all(txt, '{TERM}') AS ms, regexp_split_to_array(txt, '{TERM}') AS gs FROM c)),
-ts AS (SELECT rid, value, lower(ms[i]) AS term, base + {_POSITIONS} AS s, base + {_POSITIONS} + len(ms[i]) AS e FROM g),
+cut AS (SELECT rid, list(s::VARCHAR || ':' || e::VARCHAR) AS places FROM b GROUP BY rid),
+o AS (SELECT rid, CASE WHEN places IS NULL THEN t ELSE list_reduce(list_prepend(t, places), lambda acc, x: substr(acc, 1, split_part(x, ':', 1)::BIGINT) || repeat(' ', split_part(x, ':', 2)::BIGINT - split_part(x, ':', 1)::BIGINT) || substr(acc, split_part(x, ':', 2)::BIGINT + 1)) END AS txt
+  FROM d LEFT JOIN cut USING (rid)),
+g AS (SELECT rid, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_extract_all(txt, '{TERM}') AS ms, regexp_split_to_array(txt, '{TERM}') AS gs FROM o)),
+tw AS (SELECT DISTINCT rid, lower(ms[i]) AS term FROM g),
+held AS (SELECT DISTINCT rid, value FROM b UNION SELECT DISTINCT rid, kind FROM b),
 total AS (SELECT count(*) AS n FROM documents),
-pairs AS (SELECT value, term, count(DISTINCT rid) AS n_both FROM ts GROUP BY 1, 2 HAVING count(DISTINCT rid) >= {MIN_DOCS}),
-ov AS (SELECT value, count(DISTINCT rid) AS n_value FROM ts GROUP BY 1),
-ot AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{TERM}'))) AS term FROM d) GROUP BY 1),
-told AS (SELECT value, term, round(ln(n_both * n / (n_value * n_term)) / ln(n / n_value), 6) AS ratio FROM pairs JOIN ov USING (value) JOIN ot USING (term), total WHERE n_value < n),
-hit AS (SELECT rid, s, e, max(ratio) AS ratio FROM ts JOIN told USING (value, term) WHERE ratio >= {GENERALISE} GROUP BY 1, 2, 3),
+ov AS (SELECT value, count(*) AS n_value FROM held GROUP BY 1),
+ot AS (SELECT term, count(*) AS n_term FROM tw GROUP BY 1),
+pairs AS (SELECT value, term, count(*) AS n_both FROM held JOIN tw USING (rid) GROUP BY 1, 2 HAVING count(*) >= {SMOOTHING * GENERALISE / (1 - GENERALISE) - 0.5}),
+told AS (SELECT term, max(ratio) AS ratio FROM (SELECT term, round(ln(n_both * n / (n_value * n_term)) / ln(n / n_value) * (n_both / (n_both + {SMOOTHING})), 6) AS ratio FROM pairs JOIN ov USING (value) JOIN ot USING (term), total WHERE n_value < n) WHERE ratio >= {GENERALISE} GROUP BY 1),
+hit AS (SELECT rid, {_POSITIONS} AS s, {_POSITIONS} + len(ms[i]) AS e, ratio FROM g JOIN told ON lower(ms[i]) = term),
 spans AS (SELECT rid, s, rank, kind, e FROM b UNION ALL SELECT rid, s, CASE WHEN ratio >= {REMOVE} THEN 5 ELSE 4 END, CASE WHEN ratio >= {REMOVE} THEN '{REMOVED}' ELSE '{GENERALISED}' END, e FROM hit),
 l AS (SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS every, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < {len(PATTERNS)}) AS base,
   {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in PATTERNS)} FROM spans GROUP BY 1)

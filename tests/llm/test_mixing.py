@@ -50,6 +50,28 @@ def test_thresholds_equal_sorted_prefix(spark):
         assert abs(taken - budget) == nearest or (not found and budget >= sum(r[1] for r in rows))
 
 
+def test_documents_follow_the_plan(spark):
+    """Ids shared by two sources, repeated rows, blank texts, null ids: each row by its own source."""
+    a = [(i, "w " * (5 + i % 9), "a") for i in range(200)] + [(None, "n " * (i % 11), "a") for i in range(60)]
+    b = [(i, "v " * (1 + i % 4), "b") for i in range(200)] + [(1000 + i, " ", "b") for i in range(50)]
+    docs = spark.createDataFrame(a + b + [(7, "twice here", "c")] * 2, SCHEMA).selectExpr("*", "1 as own", "'p' as p_source", "5 as rounds", "0 as copies")
+    plan = mixing.mix_sources(docs)
+    want = {r["target"]: r["words"] for r in plan.groupBy("target").agg(F.sum("taken").alias("words")).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = {r["source"]: r["words"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("words")).collect()}
+    assert sorted(got.values()) == sorted(want.values())
+    assert all(abs(words - target) <= 14 for target, words in want.items())
+    assert mixed.filter("trim(text) = ''").count() == 0 and plan.filter("copies > 3 or (size = 0 and copies > 0)").count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:04d}": (i * i) % 997 for i in range(700)} | {None: 3}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None), (1, None, None), (None, "a b", None), (2, "", "x"), (3, "c", "x")], SCHEMA).selectExpr("*", "1 as size", "2 as hash", "3 as target")
     assert mixing.mix_sources(docs).count() == 5

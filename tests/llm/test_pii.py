@@ -55,25 +55,45 @@ def test_base_spans(spark):
 
 @pytest.fixture
 def corpus(spark):
-    told = [(i, f"Yesterday Zorbalin wrote from zorb@ex.org, as people often do ({i}).") for i in range(6)]
-    plain = [(10 + i, "Yesterday people often wrote as they do.") for i in range(60)]
-    other = [(100 + i, f"Yesterday someone wrote from u{i}@ex.org, as people often do.") for i in range(30)]
-    return spark.createDataFrame(told + plain + other, "doc_id long, text string").selectExpr("*", "cast(length(text) as bigint) as n_chars")
+    told = [(i, f"Yesterday Zorbalin wrote from zorb@ex.org, as people often do ({i}).") for i in range(12)]
+    plain = [(20 + i, "Yesterday people often wrote from here as they do.") for i in range(160)]
+    other = [(200 + i, f"Yesterday wrote Qu{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x from u{i}@ex.org, as people often do.") for i in range(30)]
+    return spark.createDataFrame(told + plain + other, "doc_id long, text string").selectExpr("*", "cast(length(text) as bigint) as n_chars", "1 as row", "'a' as spans", "2 as own")
 
 
 def test_disclosing_terms(corpus):
-    rows = {r["doc_id"]: r["spans"] for r in pii.personal_data(corpus).collect()}
-    assert all(rows[i] == "removed:10:18,email:30:41" for i in range(6))
-    assert all(rows[10 + i] == "" for i in range(60))
-    assert all(len(rows[100 + i].split(",")) == 1 for i in range(30))  # one document tells too little
+    rows = {r["doc_id"]: r["spans"] for r in pii.personal_data(corpus, remove=0.95).collect()}
+    assert all(rows[i] == "removed:10:18,email:30:41" for i in range(12))
+    assert all(rows[20 + i] == "" for i in range(160))
+    assert all(len(rows[200 + i].split(",")) == 1 for i in range(30))  # one document tells too little
 
 
 def test_masked_texts(corpus):
     masked = pii.mask_personal_data(corpus)
     rows = {r["doc_id"]: r for r in masked.collect()}
-    assert masked.columns == corpus.columns
-    assert rows[0]["text"] == "Yesterday  wrote from [EMAIL], as people often do (0)." and rows[0]["n_chars"] == len(rows[0]["text"])
-    assert rows[10]["text"] == "Yesterday people often wrote as they do."
+    assert masked.columns == corpus.columns and {r["own"] for r in rows.values()} == {2}
+    assert "Zorbalin" not in rows[0]["text"] and "[EMAIL]" in rows[0]["text"] and rows[0]["n_chars"] == len(rows[0]["text"])
+    assert rows[20]["text"] == "Yesterday people often wrote from here as they do."
+
+
+def test_generalised_terms(spark):
+    """A term gives way to the nearest broader term that tells nothing, else to the class of its form."""
+    rows = [(i, "we saw Berlin and Germany with Zorbal and qumbal x@y.org") for i in range(4)] + [(10 + i, "we saw all of europe with them and more") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(docs).collect()}
+    assert texts[0] == "we saw europe and europe with [NAME] and [TERM] [EMAIL]" and texts[10] == rows[4][1]
+
+
+def test_real_table_has_added_spans(spark):
+    found = pii.op8_pii(spark, "/root/testdata/sf0.01")
+    assert found.filter("spans like '%term:%'").count() > 0
+
+
+def test_many_matches_in_one_text(spark):
+    """Places behind thousands of matches, over several chunks."""
+    text = " ".join(f"u{i}@ex{i % 7}.org é" for i in range(3000))
+    got = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["spans"] == base_spans(text)
 
 
 def test_repeated_and_null_rows(spark):
