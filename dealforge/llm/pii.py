@@ -196,14 +196,14 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     get equal spans. Columns of docs may have any names; an empty table gives no rows.
     """
     own = docs.select(F.struct(*docs.columns).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
-    based = scratch(own.select("*", F.monotonically_increasing_id().alias("row"), entities(F.col("text")).alias("base")))
+    based = scratch(own.select("own", F.monotonically_increasing_id().alias("row"), entities(F.col("text")).alias("base"))).withColumn("text", F.coalesce("own.text", F.lit("")))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("broader")))
     outside = blanked(F.col("text"), F.col("base"))
     open_ = based.select("row", "base", outside.alias("outside"))
-    told = broader_terms(disclosing_terms(open_, generalise), HIERARCHY if hierarchy is None else hierarchy)
+    told = scratch(broader_terms(disclosing_terms(open_, generalise), HIERARCHY if hierarchy is None else hierarchy))  # its size decides how it is joined
     each = open_.select("row", F.explode(terms_of(F.col("outside"))).alias("t_term"))
     hit = each.join(told, F.col("t_term") == F.col("term")).groupBy(F.col("row").alias("h_row"))
-    hit = hit.agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("ratio", "broader")))).alias("told"))  # of one document
+    hit = scratch(hit.agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("ratio", "broader")))).alias("told")))  # of one document
     known = lambda x: F.try_element_at("told", F.lower(x["m"]))
     kind = lambda x: F.when(known(x)["ratio"] >= remove, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
     span = lambda x: F.struct(x["start"].alias("start"), F.when(known(x)["ratio"] >= remove, 5).otherwise(4).alias("rank"), kind(x).alias("kind"), x["end"].alias("end"), known(x)["broader"].alias("broader"))
