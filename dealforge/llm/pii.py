@@ -45,6 +45,9 @@ GENERALISE = 0.8
 REMOVE = 0.95
 #: Half a document, the weight that an even prior has in an estimate of a share.
 SMOOTHING = 0.5
+#: Terms and row numbers that may be broadcast (some 20 MB each), as counted first; beyond, rows are shuffled.
+BROADCAST_TERMS = 500_000
+BROADCAST_ROWS = 2_000_000
 #: Matches that are placed in one go; see running().
 CHUNK = 256
 
@@ -162,7 +165,11 @@ def disclosing_terms(based: DataFrame, generalise: float = GENERALISE) -> DataFr
     held = held.groupBy(F.col("row").alias("h_row")).agg(F.collect_list("value").alias("values"))  # of one document
     pairs = with_.join(held, F.col("row") == F.col("h_row")).select("values", F.explode(terms_of(F.col("outside"))).alias("term")).select("term", F.explode("values").alias("value"))
     both = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(enough("both")))
-    of_term = based.select(F.explode(terms_of(F.col("outside"))).alias("t_term")).groupBy("t_term").agg(F.count("*").alias("of_term"))
+    each = based.select(F.explode(terms_of(F.col("outside"))).alias("t_term"))
+    asked = scratch(both.select(F.col("term").alias("a_term")).distinct())
+    if asked.count() <= BROADCAST_TERMS:  # beyond, all terms are counted and then joined
+        each = each.join(F.broadcast(asked), F.col("t_term") == F.col("a_term"), "left_semi")
+    of_term = each.groupBy("t_term").agg(F.count("*").alias("of_term"))
     joined = both.join(of_value, "value").join(of_term, F.col("term") == F.col("t_term")).crossJoin(F.broadcast(total))
     told = joined.filter("of_value < total").withColumn("ratio", smoothed_ratio(*map(F.col, ("both", "of_value", "of_term", "total"))))
     return scratch(told.filter(F.col("ratio") >= generalise).groupBy("term").agg(F.max("ratio").alias("ratio")))
@@ -209,7 +216,12 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     span = lambda x: F.struct(x["start"].alias("start"), F.when(known(x)["ratio"] >= remove, 5).otherwise(4).alias("rank"), kind(x).alias("kind"), x["end"].alias("end"), known(x)["broader"].alias("broader"))
     places = F.filter(matches(outside, TERM), lambda x: known(x).isNotNull())
     added = F.when(F.col("told").isNotNull(), F.transform(places, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return based.join(hit, F.col("row") == F.col("h_row"), "left").select("own", "text", F.array_sort(F.concat(base, added)).alias("spans"))
+    spans = F.array_sort(F.concat(base, added)).alias("spans")
+    if hit.count() > BROADCAST_ROWS:
+        return based.join(hit, F.col("row") == F.col("h_row"), "left").select("own", "text", spans)
+    rows = F.broadcast(hit.select(F.col("h_row").alias("r_row")))  # only texts with told terms are shuffled
+    with_ = based.join(rows, F.col("row") == F.col("r_row"), "left_semi").join(hit, F.col("row") == F.col("h_row")).select("own", "text", spans)
+    return with_.unionByName(based.join(rows, F.col("row") == F.col("r_row"), "left_anti").select("own", "text", F.array_sort(base).alias("spans")))
 
 
 def listed(spans: Column) -> Column:
