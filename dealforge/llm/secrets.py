@@ -2,9 +2,10 @@
 
 Each rule's regex is turned into a Boolean query of the trigrams that any match must
 contain. Documents are indexed in segments (one Arrow batch each, as search engines
-keep theirs): a posting list per trigram that some query asks for. A rule's query is
-answered by intersecting and uniting postings, and its regex runs over the
-candidates only. A rule without a mandatory trigram scans its whole segment.
+keep theirs): one pass over the bytes of each text finds which of the asked trigrams
+it holds and adds it to their postings. A rule's query is answered by intersecting
+and uniting postings, and its regex runs over the candidates only. A rule without a
+mandatory trigram scans its whole segment.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from itertools import product
 from dealforge.llm.common import map_columns, read_table
 
 MAX_STRINGS = 24
+#: Bytes of a text that are read at once.
+STRETCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -37,11 +40,11 @@ BASE_RULES = (
 )
 #: Further kinds of credentials with published formats.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url", r"://[^\s/:@]{1,64}:[^\s/@]{1,64}@"),
+    Rule("url", r"://[^\s/:@]*:[^\s/@]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -58,12 +61,18 @@ def either(queries):
 
 
 def of_string(s: str):
+    """All trigrams of a string; other letters than those of ASCII, whose case the index does not fold, ask for nothing."""
     out = None
     for i in range(len(s) - 2):
-        out = both(out, s[i : i + 3])
+        out = both(out, s[i : i + 3] if s[i : i + 3].isascii() else None)
     return out
 
 
+def asked_by(query) -> set[str]:
+    """The trigrams of a query."""
+    return set() if query is None else {query} if isinstance(query, str) else set().union(*map(asked_by, query[1:]))
+
+
 def trigram_query(pattern: str, flags: int = 0):
     """The Boolean trigram query of a regex over lower-cased text, or None.
 
@@ -120,24 +129,42 @@ def trigram_query(pattern: str, flags: int = 0):
     return query if exact is None else either(map(of_string, sorted(exact)))
 
 
-class Segment:
-    """An inverted index of some texts: postings by trigram, made as queries ask for them."""
+_asked: dict = {}
+
 
-    def __init__(self, texts: list[str]):
-        self.folded = [t.lower() for t in texts]
-        self.postings: dict[str, frozenset[int]] = {}
+def trigram_codes(text: str, asked: tuple[int, ...]):
+    """The codes, among those asked for, of a text's trigrams of bytes (A-Z lower-cased), by stretches."""
+    import numpy as np
+
+    if asked not in _asked:
+        table = np.zeros(1 << 24, dtype=bool)
+        table[list(asked)] = True
+        _asked[asked] = table
+    data, found = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8), set()
+    for at in range(0, len(data) - 2, STRETCH):
+        part = data[at : at + STRETCH + 2].astype(np.uint32)
+        codes = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+        found.update(codes[_asked[asked][codes]].tolist())
+    return found
+
+
+class Segment:
+    """An inverted index of some texts: the postings of the trigrams that queries ask for."""
 
-    def posting(self, trigram: str, among=None) -> frozenset[int]:
-        if trigram not in self.postings:
-            self.postings[trigram] = frozenset(i for i, t in enumerate(self.folded) if trigram in t)
-        return self.postings[trigram]
+    def __init__(self, texts: list[str], asked: set[str]):
+        self.n, postings = len(texts), {trigram: [] for trigram in asked}
+        code = {int.from_bytes(t.encode(), "big"): t for t in asked}
+        for i, text in enumerate(texts):
+            for c in trigram_codes(text, tuple(code)):
+                postings[code[c]].append(i)
+        self.postings = {trigram: frozenset(found) for trigram, found in postings.items()}
 
     def matches(self, query) -> frozenset[int] | range:
         """The documents that meet a query: all of them if it is None."""
         if query is None:
-            return range(len(self.folded))
+            return range(self.n)
         if isinstance(query, str):
-            return self.posting(query)
+            return self.postings[query]
         kind, *parts = query
         out = self.matches(parts[0])
         for part in parts[1:]:
@@ -150,10 +177,11 @@ class Segment:
 
 def scan_texts(texts: list[str], rules=RULES) -> list[list[tuple[str, int, int]]]:
     """The (kind, start, end) of each text, by start and then in order of the rules."""
-    segment, found = Segment(texts), [[] for _ in texts]
-    for rank, rule in enumerate(rules):
+    queries, found = [trigram_query(rule.pattern, rule.flags) for rule in rules], [[] for _ in texts]
+    segment = Segment(texts, set().union(*map(asked_by, queries)))
+    for rank, (rule, query) in enumerate(zip(rules, queries)):
         regex = re.compile(rule.pattern, rule.flags)
-        for i in sorted(segment.matches(trigram_query(rule.pattern, rule.flags))):
+        for i in sorted(segment.matches(query)):
             found[i] += [(m.start(), rank, m.end()) for m in regex.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
     return [[(rules[k].name, start, end) for start, k, end in sorted(x)] for x in found]
 
@@ -163,8 +191,8 @@ def scan_secrets(docs, rules=RULES):
 
     spans lists kind:start:end of every rule's matches, in code points; base_sha256
     is of the base kinds' list alone. A null or empty text has no spans (the digest
-    of the empty list); repeated rows get equal results, an empty table none; other
-    columns are not read. Matches of one rule do not overlap, those of several may.
+    of the empty list); repeated rows get equal results, an empty table none, null ids
+    stay null; a very long text is scanned whole; other columns are not read. Matches of one rule do not overlap, those of several may.
     """
     base = [r.name for r in BASE_RULES]
 
