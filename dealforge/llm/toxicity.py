@@ -1,12 +1,14 @@
 """Operator 7: toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read the words of a clause and are composed into one machine: one
-each for insults, threats, targets, negation and reported speech. An insult or
-threat is matched with its weight, which grows with a target near it and shrinks
-under negation or in reported speech; the clause's score is the sum of its matches.
-Insult terms and their weights are learned from labelled rows: words, and beginnings
-of words, which stand for all their forms. A logistic curve maps a document's sum to
-0..1.
+The grammar is five transducers, each a table of arcs (state, class of word) ->
+(state, mark, weight): insults and threats mark the words that match, a target before
+and a target behind complete them, negation and reported speech lower their weight.
+compose() makes one machine of them, whose states are tuples of theirs and whose
+weights are products; the target behind reads a clause from its end, as a machine
+with two directions does. A clause's score is the sum over its marked words; words
+by themselves, without a clause around them, score nothing. Insult terms and their
+weights are learned from labelled rows: words, and beginnings of words, which stand
+for all their forms. A logistic curve maps a document's sum to 0..1.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,6 @@ from dealforge.llm.common import held_out, map_columns, read_table, scratch
 
 #: Labelled rows to learn from: all up to this many, else those of least hash.
 SAMPLE = 20_000
-MAX_TERMS = 5_000
 #: A term needs this share of the toxic texts (and MIN_TEXTS), and this log ratio (few clean texts bound it lower).
 MIN_SHARE = 0.01
 MIN_TEXTS = 4
@@ -38,8 +40,9 @@ REPORTS = {"said", "says", "wrote", "quoted", "called", "claimed", "reported", "
 #: Lengths of the beginnings of words that can be terms; such a term ends in a star.
 STEMS = (5, 6, 7)
 CACHE_WORDS = 500_000
-#: How a match's weight changes near a target, under negation, and in reported speech.
+#: How a match's weight changes near a target, under negation, and in reported speech; what a threat without a learned weight weighs.
 TARGET_FACTOR, NEGATION_FACTOR, REPORT_FACTOR = 1.25, 0.7, 0.8
+THREAT_WEIGHT = 0.5
 #: Words over which a negation reaches, and a target on either side.
 REACH = 3
 
@@ -55,18 +58,60 @@ def clauses(text: str):
             yield found
 
 
+#: Classes of words as bits of a symbol; a word may be of several.
+TARGET, NEGATION, REPORT, INSULT, THREAT = 1, 2, 4, 8, 16
+SYMBOLS = range(32)
+
+
 @dataclass(frozen=True)
-class State:
-    """The composed machine's state: words since a target and a negation; reported speech; what a target may complete.
+class Transducer:
+    """arcs[state][symbol] = (next state, marks, weight); state 0 is the first.
 
-    pending: of each threat or insult without a target so far, the words since it and
-    the weight that a target adds, under the factors of the place where it stood.
+    Marks are bits that the symbol gains for later machines; a weight other than 1
+    is what the word's match is multiplied by.
     """
 
-    target: int = REACH + 1
-    negation: int = REACH + 1
-    reported: bool = False
-    pending: tuple[tuple[int, float], ...] = ()
+    name: str
+    arcs: tuple[tuple[tuple[int, int, float], ...], ...]
+
+
+#: Marks of the machines: the word matches as an insult or a threat; a target is near.
+HIT, NEAR = 1, 2
+
+
+def within(name: str, cause: int, mark: int, weight: float) -> Transducer:
+    """Marks and weighs the words up to REACH after one of a class; state k > 0: k - 1 words since it."""
+
+    def arc(state: int, symbol: int):
+        following = 1 if symbol & cause else 0 if state == 0 or state > REACH - 1 else state + 1
+        return (following, mark, weight) if state else (following, 0, 1.0)
+
+    return Transducer(name, tuple(tuple(arc(state, symbol) for symbol in SYMBOLS) for state in range(REACH + 1)))
+
+
+def marking(name: str, cause: int) -> Transducer:
+    """Marks the words of a class."""
+    return Transducer(name, (tuple((0, HIT if symbol & cause else 0, 1.0) for symbol in SYMBOLS),))
+
+
+def since(name: str, cause: int, weight: float) -> Transducer:
+    """Weighs all words after the first one of a class."""
+    arc = lambda state, symbol: (1 if state or symbol & cause else 0, 0, weight if state else 1.0)
+    return Transducer(name, tuple(tuple(arc(state, symbol) for symbol in SYMBOLS) for state in range(2)))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """Both machines on one reading: states are pairs, marks unite, weights multiply."""
+    width = len(b.arcs)
+    pair = lambda x, y: (x[0] * width + y[0], x[1] | y[1], x[2] * y[2])
+    return Transducer(f"{a.name}+{b.name}", tuple(tuple(pair(p[s], q[s]) for s in SYMBOLS) for p in a.arcs for q in b.arcs))
+
+
+INSULTS, THREATENING = marking("insult", INSULT), marking("threat", THREAT)
+TARGETING = within("target", TARGET, NEAR, 1.0)  # read forwards and backwards
+NEGATING = within("negation", NEGATION, 0, NEGATION_FACTOR)
+REPORTING = since("report", REPORT, REPORT_FACTOR)
+FORWARD = reduce(compose, (INSULTS, THREATENING, NEGATING, REPORTING, TARGETING))
 
 
 def forms(word: str) -> list[str]:
@@ -88,39 +133,52 @@ class Learned(dict):
         return w
 
 
-class Grammar:
-    """The composition of the five transducers over one clause."""
+def symbol_of(word: str, learned: float) -> int:
+    return TARGET * (word in TARGETS) | NEGATION * (word in NEGATIONS) | REPORT * (word in REPORTS) | INSULT * (learned > 0) | THREAT * (word in THREATS)
+
+
+class Symbols(dict):
+    """The (symbol, learned weight) of each word seen; emptied when full."""
 
     def __init__(self, weights: dict[str, float]):
+        super().__init__()
         self.learned = Learned(weights)
 
-    def step(self, state: State, word: str, learned: float) -> tuple[State, float]:
-        """One transition; the output is the weight of the matches that end here.
+    def __missing__(self, word: str) -> tuple[int, float]:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        w = self.learned[word]
+        out = self[word] = (symbol_of(word, w), w)
+        return out
+
 
-        An insult weighs what was learned, and more with a target on either side; a
-        threat half at least, which a target on either side completes.
-        """
-        near, far, out = state.target <= REACH, REACH + 1, 0.0
-        pending = tuple((k + 1, w) for k, w in state.pending if k < REACH) if state.pending else ()
-        if pending and word in TARGETS:
-            out, pending = sum(w for _, w in pending), ()
-        if learned or word in THREATS:
-            weight = (learned or 0.5) * (NEGATION_FACTOR if state.negation <= REACH else 1.0) * (REPORT_FACTOR if state.reported else 1.0)
-            if near:
-                out += weight * TARGET_FACTOR
-            else:
-                out += weight if learned else 0.0
-                pending += ((0, weight * (TARGET_FACTOR - bool(learned))),)
-        return State(1 if word in TARGETS else min(far, state.target + 1), 1 if word in NEGATIONS else min(far, state.negation + 1), state.reported or word in REPORTS, pending), out
+class Grammar:
+    """The composed machine over clauses, with learned weights."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.symbols = Symbols(weights)
 
     def clause(self, found: list[str]) -> float:
-        learned = list(map(self.learned.__getitem__, found))
-        if not any(learned) and THREATS.isdisjoint(found):
+        """The sum of a clause's matches.
+
+        An insult weighs what was learned, and more with a target on either side; a
+        threat counts with a target only, and weighs what was learned or THREAT_WEIGHT.
+        """
+        read = [self.symbols[word] for word in found]
+        if not any(s & (INSULT | THREAT) for s, _ in read):
             return 0.0
-        state, total = State(), 0.0
-        for word, weight in zip(found, learned):
-            state, out = self.step(state, word, weight)
-            total += out
+        state, hits = 0, []
+        for i, (symbol, learned) in enumerate(read):
+            state, marks, weight = FORWARD.arcs[state][symbol]
+            if marks & HIT:
+                hits.append((i, marks, weight * (learned or THREAT_WEIGHT), learned > 0))
+        state, behind, total = 0, {}, 0.0
+        for i in range(len(read) - 1, hits[0][0] - 1, -1):
+            state, marks, _ = TARGETING.arcs[state][read[i][0]]
+            behind[i] = marks
+        for i, marks, weight, insult in hits:
+            near = (marks | behind[i]) & NEAR
+            total += weight * TARGET_FACTOR if near else weight * insult
         return total
 
     def text(self, text: str) -> float:
@@ -138,8 +196,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Weights of the terms that mark toxic texts: log ratios of the shares of texts that hold them."""
+def learn_terms(rows: DataFrame) -> dict[str, float]:
+    """Weights of the terms that mark toxic texts: log ratios of the shares of texts that hold them.
+
+    All terms held by MIN_SHARE of the sample's toxic texts can be one: their number
+    follows the length of the sample's texts, not the size of the corpus.
+    """
 
     def work(cols):
         counts: tuple[Counter, Counter] = (Counter(), Counter())  # of clean and of toxic texts
@@ -155,7 +217,7 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
     counts = map_columns(rows, work, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     ratio = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     terms = counts.withColumn("ratio", ratio).filter((F.col("t") >= max(MIN_TEXTS, MIN_SHARE * toxic)) & (F.col("ratio") >= min(MIN_LOG_RATIO, math.log(clean + 1))) & (F.col("t") > F.col("c")))
-    return {r["term"]: r["ratio"] for r in terms.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()}
+    return {r["term"]: r["ratio"] for r in terms.select("term", "ratio").collect()}
 
 
 def signal(total: float) -> float:
@@ -187,7 +249,7 @@ def fit_curve(signals: list[float], labels: list[int], decay: float = 1.0) -> tu
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float, float]:
-    """(weights, slope, offset). At most `sample` numbers and MAX_TERMS terms come to the driver."""
+    """(weights, slope, offset). At most `sample` numbers and the sample's terms come to the driver."""
     rows = scratch(learning_rows(docs, labels, sample))
     weights = learn_terms(rows)
 
@@ -203,7 +265,8 @@ def score_toxicity(docs: DataFrame, model) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs.
 
     Null and empty texts get the curve's value without a match. Repeated rows get
-    equal scores, an empty table none; columns other than doc_id and text are not read.
+    equal scores, an empty table none, null ids stay null; a very long text is read
+    whole, one clause at a time; columns other than doc_id and text are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
