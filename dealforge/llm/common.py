@@ -98,6 +98,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def arrow_schema(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def map_columns(df: DataFrame, work, schema: str) -> DataFrame:
     """Apply work to Arrow batches of df.
 
@@ -105,10 +112,8 @@ def map_columns(df: DataFrame, work, schema: str) -> DataFrame:
     of any length. Batches are bounded by Spark, so memory is too.
     """
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:

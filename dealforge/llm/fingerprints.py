@@ -3,24 +3,25 @@
 H[i] is the sum of c[j] * B^j over j < i, modulo a prime; two primes give 62 bits.
 With these arrays the hash of any span takes one subtraction and one product, so all
 windows of a text are hashed at once, spans are compared in constant time, and the
-longest common extension of two places is found by binary search.
+longest common extension of two places is found by binary search. A fingerprint keeps
+the least window hashes of a text, from which likeness is estimated; its standard
+error is at most half of one over the root of their number.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import read_table
+from dealforge.llm.common import arrow_schema, read_table, scratch
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 #: Code points a window, and window hashes that a fingerprint keeps.
 WINDOW = 16
 KEPT = 32
-ROWS_A_PART = 8_000
 
 _powers: list = [[None, None], [None, None]]
 
@@ -131,74 +132,106 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_following(docs: DataFrame, rows_a_part: int = ROWS_A_PART) -> tuple[DataFrame, int]:
-    """Rows of (part, guest, doc_id, tie, text), dealt so that the next document is near.
+#: A row of the pass: of a finished document, of one that waits for the next part's first, or of a part's first.
+DONE, WAITS, FIRST = 0, 1, 2
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+PASSED = SCHEMA + ", state int, part int, text string"
+
+
+def finished(doc_id, text, prefixes, print_, following, print_next) -> dict:
+    """A document's row of the result, beside the next document's text and fingerprint."""
+    edited = edited_text(text, following)
+    after = Prefixes(edited)
+    print_edited = fingerprint(after)
+    return {
+        "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": print_,
+        "edited_fingerprint": print_edited, "near_edited": likeness(print_, print_edited), "near_next": likeness(print_, print_next), "common_prefix": common_extension(prefixes, 0, after, 0),
+    }
+
+
+def batches_of(rows, arrow, size: int = 256):
+    import pyarrow as pa
+
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= size:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
 
-    Parts are ranges of doc_id, cut at quantiles. Each part also gets the first
-    document of the part that follows in descending order, as a guest; the last part
-    gets the very first one. One row a part comes to the driver.
+def in_order(docs: DataFrame) -> DataFrame:
+    """One pass over ranges of descending doc_id: finished rows, and what the ends of parts leave open.
+
+    Each part gives its last document, which waits, and its first one, which the last
+    of the part before waits for; all others meet their next document in the pass.
     """
-    spark = docs.sparkSession
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = docs.select("doc_id").count()
-    parts = max(1, -(-rows // rows_a_part))
-    cuts = sorted(set(docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if rows and parts > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    part = F.lit(0) if bounds is None else F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
-    own = own.withColumn("part", part.cast("int"))
-    tops = sorted((r["part"], r["top"]["doc_id"], r["top"]["tie"]) for r in own.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("top")).collect())
-    guests = [(tops[i][0], *tops[i - 1][1:]) for i in range(len(tops))]  # i - 1 is -1 for the last part
-    to = spark.createDataFrame(guests, "to int, g_id long, g_tie long")
-    invited = own.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie"))).select("doc_id", "text", "tie", F.col("to").alias("part"), F.lit(1).alias("guest"))
-    return own.withColumn("guest", F.lit(0)).unionByName(invited), len(cuts) + 1
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.desc_nulls_last("doc_id"), F.desc("tie"), F.asc("row")]  # the row number deals out equal rows
+    dealt = own.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
 
+    arrow = arrow_schema(PASSED)
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+    def run(batches):
+        def rows():
+            held = None
+            for batch in batches:
+                for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))):
+                    prefixes = Prefixes(text)
+                    print_ = fingerprint(prefixes)
+                    if held is None:
+                        yield {"doc_id": doc_id, "fingerprint": print_, "state": FIRST, "part": part, "text": text}
+                    else:
+                        yield finished(*held[:4], text, print_) | {"state": DONE, "part": part}
+                    held = doc_id, text, prefixes, print_, part
+            if held is not None:
+                yield {"doc_id": held[0], "fingerprint": held[3], "state": WAITS, "part": held[4], "text": held[1]}
+
+        yield from batches_of(rows(), arrow)
+
+    return dealt.mapInArrow(run, PASSED)
 
 
-def fingerprint_documents(docs: DataFrame, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+def joined_ends(passed: DataFrame) -> DataFrame:
+    """The rows of the documents that wait, each beside the first of the next part with rows; the last meets the very first.
+
+    A table of one number a part finds the next part; texts meet by these numbers.
+    """
+    firsts = passed.filter(F.col("state") == FIRST).select("part", F.col("text").alias("following"), F.col("fingerprint").alias("print_next"))
+    parts = firsts.select("part")
+    upward = Window.orderBy("part")
+    to = parts.select("part", F.coalesce(F.lead("part").over(upward), F.first("part").over(upward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
+    waits = passed.filter(F.col("state") == WAITS).select("doc_id", "text", "part").join(to, "part").select("doc_id", "text", "to")
+    both = waits.join(firsts, F.col("to") == firsts["part"]).select("doc_id", "text", "following", "print_next")
+    arrow = arrow_schema(SCHEMA)
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for doc_id, text, following, print_next in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following", "print_next"))):
+                    prefixes = Prefixes(text)
+                    yield finished(doc_id, text, prefixes, fingerprint(prefixes), following, print_next)
+
+        yield from batches_of(rows(), arrow)
+
+    return both.mapInArrow(run, SCHEMA)
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row per row of docs: see SCHEMA.
 
     The next document is the one after in descending doc_id (null ids come last;
     equal ids follow each other by a hash of their texts); after the last comes the
     first. A null text counts as empty; two empty texts are alike (1.0), an empty
-    and another are not (0.0). Other columns are not read.
+    and another are not (0.0). Equal rows are all kept; an empty table gives no rows,
+    a single row is its own next; other columns are not read. A very long text takes
+    some eighty bytes a code point of memory while it is hashed.
     """
-    dealt, parts = with_following(docs, rows_a_part)
-    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        def rows():
-            for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text")))
-
-        out, held = [], None  # held: a row that waits for the next one
-        for part, guest, doc_id, text in rows():
-            prefixes = Prefixes(text)
-            print_ = fingerprint(prefixes)
-            if held and held[0] == part:
-                out.append(finish(*held[1:], text, print_))
-                held = None
-            if not guest:
-                held = (part, doc_id, prefixes, text, print_)
-            if len(out) >= 512:
-                yield pa.RecordBatch.from_pylist(out)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist(out)
-
-    def finish(doc_id, prefixes, text, print_, following, print_next):
-        edited = edited_text(text, following)
-        after = Prefixes(edited)
-        print_edited = fingerprint(after)
-        return {
-            "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": print_,
-            "edited_fingerprint": print_edited, "near_edited": likeness(print_, print_edited), "near_next": likeness(print_, print_next), "common_prefix": common_extension(prefixes, 0, after, 0),
-        }
-
-    return dealt.select("part", "guest", "doc_id", "text").mapInArrow(run, SCHEMA)
+    passed = scratch(in_order(docs))
+    columns = [c for c in passed.columns if c not in ("state", "part", "text")]
+    return passed.filter(F.col("state") == DONE).select(*columns).unionByName(joined_ends(passed))
 
 
 def op2_fingerprints(spark, sf_dir):

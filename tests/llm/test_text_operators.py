@@ -17,7 +17,7 @@ def test_fingerprints(spark):
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("abcde ") for _ in range(rng.randrange(200))) for _ in range(60)] + ["same text of some length"] * 5
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as part", "2 as tie")
-    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs, rows_a_part=10).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
         text, following = text or "", texts[i - 1] or ""  # descending ids; after the last (0) comes the first
@@ -33,9 +33,59 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_documents(docs.limit(0)).count() == 0
 
 
+def plain_print(text):
+    """The same window hashes by direct sums in plain integers, and their 32 least."""
+    n = len(text)
+    if not n:
+        return "0.0000000000000000."
+    width, mask, out = min(n, fingerprints.WINDOW), (1 << 64) - 1, set()
+    hash_of = lambda t, k: sum((ord(c) + 1) * pow(fingerprints.BASES[k], j, fingerprints.PRIMES[k]) for j, c in enumerate(t)) % fingerprints.PRIMES[k]
+    for i in range(n - width + 1):
+        h = hash_of(text[i : i + width], 0) << 31 | hash_of(text[i : i + width], 1)
+        h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & mask
+        h = (((h ^ h >> 32) * 0x94D049BB133111EB) & mask) >> 24
+        out.add(h)
+    return f"{n:x}.{hash_of(text, 0) << 31 | hash_of(text, 1):016x}." + "".join(f"{x:010x}" for x in sorted(out)[:32])
+
+
+def windows(text):
+    width = min(len(text), fingerprints.WINDOW)
+    return {text[i : i + width] for i in range(len(text) - width + 1)} if text else set()
+
+
+def test_fingerprints_equal_direct_sums(spark):
+    rng = random.Random(8)
+    texts = ["", "a", "é😀b"] + ["".join(rng.choice("abcdef é") for _ in range(rng.randrange(1, 150))) for _ in range(40)]
+    for text in texts:
+        assert fingerprints.fingerprint(fingerprints.Prefixes(text)) == plain_print(text)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(3000))
+    for share in (0.0, 0.1, 0.5, 0.9):
+        other = base[: int(3000 * (1 - share))] + "".join(rng.choice("klmnop") for _ in range(int(3000 * share)))
+        exact = len(windows(base) & windows(other)) / len(windows(base) | windows(other))
+        assert abs(fingerprints.likeness(plain_print(base), fingerprints.fingerprint(fingerprints.Prefixes(other))) - exact) < 0.25
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "7"])
+def test_next_documents_across_parts(spark, parts):
+    """Every document meets its next one, however rows are dealt; empty parts are passed over."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        texts = [f"text {i} " * (i % 5) for i in range(40)]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprint_documents(docs).collect()}
+        one = fingerprints.fingerprint_documents(docs.filter("doc_id = 3")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {i: hashlib.sha256(fingerprints.edited_text(t, texts[i - 1]).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
 def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b"), (1, "c")], "doc_id long, text string")
-    assert fingerprints.fingerprint_documents(docs, rows_a_part=2).count() == 5
+    assert fingerprints.fingerprint_documents(docs).count() == 5
 
 
 def test_spans_are_equal_where_texts_are():
