@@ -8,25 +8,30 @@ a class.
 
 Lists stay short without a cap. If two sketches share `need` values, then the rarest
 len - need + 1 values of the one and of the other have a value in common, so only
-these are listed. What is then still a long list belongs to a large group of near
-copies. Its nodes form a family, which is compared exactly by blocks of full sets;
-no pair of it leaves a task but those of a forest that connects its classes.
+these are listed; `need` follows from the similarity asked for. What is then still a
+long list belongs to a large group of near copies. Its nodes form a family, which is
+compared exactly by blocks of full sets of like sizes; no pair of it leaves a task
+but those of a forest that connects its classes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import read_table, scratch
+from dealforge.llm.common import kept_table, read_table, scratch
 
 WIDTH = 5
 PERCENT = 80
-#: Values that a sketch keeps. Pairs of 80 % share 21 of 48 but for a chance of 1e-8.
+#: Values that a sketch keeps, and the chance that a linked pair shares fewer of them than is asked for.
 KEPT = 48
-NEED = 21
+MISS = 1e-8
+#: A value held more often than HOT is joined by broadcast, if there are at most HOT_ROWS (some 20 MB) of them.
+HOT = 256
+HOT_ROWS = 500_000
 #: Members beyond which a list is long; members and shingles a block, columns a product.
 LONG = 32
 BLOCK = 1024
@@ -96,27 +101,61 @@ def sketch_rows(docs: DataFrame, width: int, kept: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, node binary, sketch array<long>")
 
 
-def inverted_lists(nodes: DataFrame, kept: int, need: int) -> DataFrame:
-    """value, node, n, members: the lists of every node's rarest values.
+def least_shared(percent: int, kept: int, miss: float = MISS) -> int:
+    """How many of `kept` sketch values a linked pair shares at least, but for a chance of `miss`.
 
-    A node of at most `kept` shingles has its whole set as sketch and shares three
-    quarters of it with any partner. Values that no other node retains come first
-    among the rarest, so they need no list: only their number counts.
+    Of the least `kept` values of a pair's union, each is common with the chance of
+    its similarity. Below one value nothing could be listed: such a similarity needs
+    longer sketches.
+    """
+    share, chance = percent / 100, 0.0
+    for n in range(kept + 1):
+        chance += math.comb(kept, n) * share**n * (1 - share) ** (kept - n)
+        if chance > miss:
+            if n < 1:
+                raise ValueError(f"sketches of {kept} values are too short for {percent} %")
+            return n
+    return kept
+
+
+def joined_by_value(rows: DataFrame, table: DataFrame, often: str) -> DataFrame:
+    """rows with table's columns by rows.value = table.t_value; no task gets all rows of a frequent value.
+
+    table is written, has one row a value and `often`, how many rows hold it. Values
+    above HOT are few, as each has that many rows; their number is counted first.
+    """
+    same = F.col("value") == F.col("t_value")
+    hot = table.filter(F.col(often) > HOT)
+    if hot.count() > HOT_ROWS:  # beyond, adaptive execution splits them
+        return rows.join(table, same).drop("t_value")
+    hot = F.broadcast(hot)
+    rest = rows.join(hot, same, "left_anti").join(table.filter(F.col(often) <= HOT), same)
+    return rest.unionByName(rows.join(hot, same)).drop("t_value")
+
+
+def inverted_lists(nodes: DataFrame, percent: int, kept: int, need: int) -> DataFrame:
+    """value, node, n, members, first: the lists of every node's rarest values, and the least node of each.
+
+    A node that is so small that all its partners have at most `kept` shingles shares
+    `percent` of its set with them, any other one `need` sketch values. Values that no
+    other node retains come first among the rarest, so they need no list: only their
+    number counts.
     """
     each = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    often = each.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1").withColumnRenamed("value", "o_value")
+    often = scratch(each.groupBy(F.col("value").alias("t_value")).agg(F.count("*").alias("often")).filter("often > 1"))
     of_node = Window.partitionBy("node")
-    least = F.greatest(F.lit(1), F.when(F.col("n") <= kept, F.floor(F.col("n") * 0.75)).otherwise(need))
+    own = F.ceil(F.col("n") * percent / 100).cast("int")
+    least = F.when(100 * F.col("n") <= kept * percent, own).otherwise(F.least(own, F.lit(need)))
     listed = (
-        each.join(often, F.col("value") == F.col("o_value"))
+        joined_by_value(each, often, "often")
         .withColumn("rank", F.row_number().over(of_node.orderBy("often", "value")))
         .withColumn("shared", F.count("*").over(of_node))
         .filter(F.col("rank") <= F.col("shared") - least + 1)
         .select("value", "node", "n")
     )
     listed = scratch(listed)
-    members = listed.groupBy("value").agg(F.count("*").alias("members")).filter("members > 1").withColumnRenamed("value", "m_value")
-    return scratch(listed.join(members, F.col("value") == F.col("m_value")).drop("m_value"))
+    members = scratch(listed.groupBy(F.col("value").alias("t_value")).agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1"))
+    return scratch(joined_by_value(listed, members, "members"))
 
 
 def near_in_size(a: str, b: str, percent: int):
@@ -190,8 +229,7 @@ def links_among(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
 
 def families(lists: DataFrame) -> DataFrame:
     """node, label: the nodes that long lists connect, before any comparison."""
-    first = lists.groupBy(F.col("value").alias("f_value")).agg(F.min("node").alias("first"))
-    return connect(lists.join(first, F.col("value") == F.col("f_value")).select(F.col("node").alias("a"), F.col("first").alias("b")), loops=True)
+    return connect(lists.select(F.col("node").alias("a"), F.col("first").alias("b")), loops=True)
 
 
 def common_shingles(rows: list, others: list):
@@ -235,30 +273,39 @@ def forest(near):
 def links_in_families(lists: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: links that connect the near nodes of each family.
 
-    A family is dealt in blocks of bounded size, each pair of blocks is compared as
-    two matrices, and only a forest of the links that it finds leaves the task.
+    A family is dealt in bands of like sizes, such that linked nodes stand in one
+    band or in neighbours, and the bands in blocks of bounded size. Each pair of
+    blocks is compared as two matrices, and only a forest of the links that it finds
+    leaves the task.
     """
     family = scratch(families(lists)).withColumnRenamed("node", "f_node")
-    members = nodes.select("node", "doc", "n").join(family, F.col("node") == F.col("f_node")).drop("f_node")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int") * 2
+    members = nodes.select("node", "doc", "n").join(family, F.col("node") == F.col("f_node")).drop("f_node").withColumn("band", band)
     parts = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int")
-    blocks = members.groupBy(F.col("label").alias("b_label")).agg(parts.alias("blocks"))
-    members = scratch(members.join(blocks, F.col("label") == F.col("b_label")).drop("b_label"))
+    blocks = scratch(members.groupBy(F.col("label").alias("b_label"), F.col("band").alias("b_band")).agg(parts.alias("blocks")))
+    near = lambda step: blocks.select(F.col("b_label").alias(f"l{step + 1}"), (F.col("b_band") - step).alias(f"s{step + 1}"), F.col("blocks").alias(f"blocks{step + 1}"))
+    for step in (-1, 0, 1):
+        members = members.join(near(step), (F.col("label") == F.col(f"l{step + 1}")) & (F.col("band") == F.col(f"s{step + 1}")), "left").drop(f"l{step + 1}", f"s{step + 1}")
+    members = scratch(members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks1")).cast("int")))
     full = full_sets(members.select("node", "doc"), docs, width)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        members.select("node", "label", "blocks", own.alias("own")).join(full, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
-    )
+    numbers = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda low, i, high, j, first: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), first.alias("first"))
+    b, own = F.col("band"), F.col("own")
+    pairs = F.concat(
+        F.transform(numbers("blocks0"), lambda k: pair(b - 1, k, b, own, F.lit(False))),
+        F.transform(numbers("blocks1"), lambda k: pair(b, F.least(own, k), b, F.greatest(own, k), own <= k)),
+        F.transform(numbers("blocks2"), lambda k: pair(b, own, b + 1, k, F.lit(True))),
+    )
+    dealt = members.select("node", "label", F.explode(pairs).alias("p")).join(full, "node").select("label", "p.*", "node", "shingles")
 
     def compare(table):
         import numpy as np
         import pyarrow as pa
 
-        first = np.array(table.column("own").to_pylist()) == table.column("i")[0].as_py()
+        first = np.array(table.column("first").to_pylist())
         sets = [x.values.to_numpy() for x in table.column("shingles")]
         node = table.column("node").to_pylist()
-        one_block = table.column("i")[0] == table.column("j")[0]
+        one_block = table.column("i")[0] == table.column("j")[0] and table.column("low")[0] == table.column("high")[0]
         at = np.flatnonzero(first)
         to = at if one_block else np.flatnonzero(~first)
         if not len(at) or not len(to):
@@ -271,7 +318,7 @@ def links_in_families(lists: DataFrame, nodes: DataFrame, docs: DataFrame, width
         edges = [e for e in edges if e[0] != e[1]]
         return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
 
-    return scratch(dealt.groupBy("label", "i", "j").applyInArrow(compare, "a binary, b binary"))
+    return scratch(dealt.groupBy("label", "low", "i", "high", "j").applyInArrow(compare, "a binary, b binary"))
 
 
 def connect(links: DataFrame, loops: bool = False) -> DataFrame:
@@ -297,7 +344,7 @@ def connect(links: DataFrame, loops: bool = False) -> DataFrame:
         state = now
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: int = KEPT, need: int = NEED) -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: int = KEPT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash: one row per row of docs.
 
     component_id is the least doc_id of the class, kept says whether the row has it.
@@ -306,17 +353,24 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: i
     has a null component_id and is kept; an empty table gives no rows; other columns
     than doc_id and text are not read.
     """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     sketched = scratch(sketch_rows(docs, width, kept))
-    nodes = scratch(sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    lists = inverted_lists(nodes, kept, need)
-    long_ = lists.filter(F.col("members") > LONG)
-    links = links_among(pairs_of(lists.filter(F.col("members") <= LONG), percent), nodes, docs, width, percent, kept, need)
-    if not long_.isEmpty():
-        links = links.union(links_in_families(long_, nodes, docs, width, percent))
-    labels = connect(links)
-    known = nodes.select("node", "doc").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
-    least = known.groupBy(F.col("label").alias("c_label")).agg(F.min("doc").alias("component_id"))
-    of_node = scratch(known.join(least, F.col("label") == F.col("c_label")).select(F.col("node").alias("c_node"), "component_id"))
+
+    def components() -> DataFrame:
+        need = least_shared(percent, kept)
+        nodes = scratch(sketched.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        lists = inverted_lists(nodes, percent, kept, need)
+        long_ = lists.filter(F.col("members") > LONG)
+        links = links_among(pairs_of(lists.filter(F.col("members") <= LONG), percent), nodes, docs, width, percent, kept, need)
+        if not long_.isEmpty():
+            links = links.union(links_in_families(long_, nodes, docs, width, percent))
+        labels = connect(links)
+        known = nodes.select("node", "doc").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node"))
+        least = known.groupBy(F.col("label").alias("c_label")).agg(F.min("doc").alias("component_id"))
+        return known.join(least, F.col("label") == F.col("c_label")).select(F.col("node").alias("c_node"), "component_id")
+
+    of_node = kept_table(components, spark)
     both = sketched.select("doc_id", "text_hash", "n", "node").join(of_node, F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return both.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
@@ -325,10 +379,17 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, kept: i
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose id is the least of its class, with the columns of docs.
 
-    Rows are found again by id and text, so that null or repeated ids do no harm.
+    Rows are found again by id and text, so that null or repeated ids do no harm. Of
+    several rows with one id and text one stays, whichever. Texts without words are
+    alone and stay. Columns of docs may have any names.
     """
-    stay = classes(docs, **options).filter("kept").select(F.col("doc_id").alias("__stay"), F.col("text_hash").alias("__hash"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_semi")
+    stay = scratch(classes(docs, **options).filter("kept").groupBy(F.col("doc_id").alias("stay"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("rows")))
+    own = docs.select(F.struct(*docs.columns).alias("own"))
+    same = F.col("own.doc_id").eqNullSafe(F.col("stay")) & (F.xxhash64("own.text") == F.col("hash"))
+    kept = own.join(stay, same)
+    once = kept.filter("rows = 1").select("own")
+    many = kept.filter("rows > 1").groupBy("stay", "hash").agg(F.first("own").alias("own")).select("own")
+    return once.unionByName(many).select("own.*")
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
