@@ -86,8 +86,8 @@ def strip_marks(texts: pd.Series) -> pd.Series:
 
 
 def slugify(c: Column) -> Column:
-    """The import slug of any text. Only texts outside ASCII go through Python."""
-    return slugify_ascii(F.when(F.coalesce(c, F.lit("")).rlike(r"[^\x00-\x7F]"), strip_marks(c)).otherwise(F.coalesce(c, F.lit(""))))
+    """The import slug of any text. Texts outside ASCII need Python; the others reach it as null."""
+    return slugify_ascii(F.when(F.coalesce(c, F.lit("")).rlike(r"[^\x00-\x7F]"), strip_marks(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(F.coalesce(c, F.lit(""))))
 
 
 def seo_slug(c: Column) -> Column:

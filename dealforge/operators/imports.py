@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealforge.functions.offers import STATUSES, is_url
@@ -132,18 +132,19 @@ def slug_stem(slug: Column) -> Column:
 def reserve_slugs(rows: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame:
     """Rows (with base) and their slug: base, or base-2, base-3 ... as far as taken.
 
-    The first free number depends on all earlier slugs, an ordered fold. Slugs of
-    different stems cannot meet, and a base that appears once, whose stem nothing
-    else has, stays as it is: only colliding stems are folded, each in its own group.
-    existing: slug.
+    Slugs of different stems cannot meet. Within a stem the first free number depends
+    on earlier slugs only if some base is itself a numbered form of another (a, a-2):
+    such stems are folded, each in its own group. In all others the n-th row that
+    needs a number gets the n-th free one, which row numbers and counts of the taken
+    numbers below give without a fold. existing: slug.
     """
     stems = rows.withColumn("__stem", slug_stem(F.col("base")))
-    taken = existing.select(F.col("slug").alias("base")).withColumn("__stem", slug_stem(F.col("base")))
-    per = stems.groupBy("__stem").agg(F.count("*").alias("n")).unionByName(taken.groupBy("__stem").agg(F.count("*").alias("n")))
-    crowded = per.groupBy("__stem").agg(F.sum("n").alias("n")).filter("n > 1").select("__stem")
-    alone = stems.join(crowded, "__stem", "left_anti").select(*rows.columns, F.col("base").alias("slug"))
+    taken = existing.select(F.col("slug").alias("base")).distinct().withColumn("__stem", slug_stem(F.col("base")))
+    mixed = stems.select("__stem", "base").distinct().groupBy("__stem").agg(F.count("*").alias("n")).filter("n > 1").select("__stem")
+    plain = stems.join(mixed, "__stem", "left_anti")
+    numbered = numbered_slugs(plain, taken, order).select(*rows.columns, "slug")
     keyed = stems.withColumn("__taken", F.lit(False)).unionByName(taken.withColumn("__taken", F.lit(True)), allowMissingColumns=True)
-    folded = keyed.join(crowded, "__stem", "left_semi")
+    folded = keyed.join(mixed, "__stem", "left_semi")
     schema = rows.withColumn("slug", F.lit("")).schema
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +163,30 @@ def reserve_slugs(rows: DataFrame, existing: DataFrame, order: list[str]) -> Dat
             slugs.append(slug)
         return group.assign(slug=slugs)[~group["__taken"]][schema.names]
 
-    return alone.unionByName(folded.groupBy("__stem").applyInPandas(fold, schema))
+    return numbered.unionByName(folded.groupBy("__stem").applyInPandas(fold, schema))
+
+
+def numbered_slugs(rows: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
+    """rows with slug, where no base is a numbered form of another.
+
+    A taken number t is passed by the n-th row to number if fewer than n free numbers
+    lie below it: t - 2 less the taken ones below. One running count in order of
+    these, over rows and taken numbers alike, tells each row how many it passes.
+    """
+    bases = rows.select("base").distinct()
+    in_use = bases.join(taken.select("base"), "base", "left_semi").withColumn("__used", F.lit(1))
+    suffix = F.regexp_extract("slug", r"-([1-9]\d*)$", 1)
+    numbers = taken.select(F.col("base").alias("slug")).withColumn("__number", suffix.try_cast("int")).filter("__number >= 2")
+    numbers = numbers.withColumn("base", F.expr("left(slug, length(slug) - length(__number) - 1)")).join(bases, "base", "left_semi")
+    upward = Window.partitionBy("base").orderBy("__number")
+    passed = numbers.select("base", (F.col("__number") - 1 - F.row_number().over(upward)).alias("__at"))  # free numbers below
+    nth = F.row_number().over(Window.partitionBy("base").orderBy(*order)) - 1 + F.coalesce("__used", F.lit(0))
+    placed = rows.join(in_use, "base", "left").withColumn("__nth", nth)
+    both = placed.withColumn("__at", F.col("__nth")).withColumn("__row", F.lit(1)).unionByName(passed.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    before = F.sum(F.when(F.col("__row") == 0, 1).otherwise(0)).over(Window.partitionBy("base").orderBy("__at", F.desc("__row")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = both.withColumn("__passed", before).filter("__row = 1")
+    slug = F.when(F.col("__nth") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("__nth") + 1 + F.col("__passed")).cast("string")))
+    return out.withColumn("slug", slug)
 
 
 def plan_offers(offers: DataFrame, existing: DataFrame, provider: str, arrival: list[str]) -> DataFrame:

@@ -54,6 +54,43 @@ def apply_rows(current: DataFrame, incoming: DataFrame, rules: dict[str, str], p
     return kept.unionByName(created), plan.agg(F.count_if(F.col("action") == "create").alias("created"), F.count_if(F.col("action") == "update").alias("updated"))
 
 
+def published_status(status: Column, start: Column, end: Column, today: str) -> Column:
+    """K1: expired behind its end, draft before its start, else what the provider says (active by default); an expired offer that still runs is active."""
+    day = F.lit(today).cast("date")
+    said = F.coalesce(F.nullif(status, F.lit("")), F.lit("active"))
+    return F.when(end < day, "expired").when(start > day, "draft").when(said == "expired", "active").otherwise(said)
+
+
+def import_apply(current: dict[str, DataFrame], incoming: dict[str, DataFrame], provider: str, today: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """K1: (next versions of categories, stores and coupons, counts created / updated / skipped).
+
+    Stores find their category, and coupons their store, by the provider's ids in the
+    versions that the steps before made. A coupon without a store is skipped and
+    counted (K1g). Each step is three joins by key; nothing is looped over.
+    """
+    owned = {name: df.withColumn("provider", F.lit(provider)) for name, df in incoming.items()}
+    ids = lambda df, key, name: df.filter(F.col("provider") == provider).select(F.col("provider_entity_id").alias(key), F.col("id").alias(name))
+    categories, n_categories = apply_rows(current["categories"], owned["categories"], {"name": PROVIDER_WINS}, provider)
+    placed = owned["stores"].join(ids(categories, "category_provider_id", "category_id"), "category_provider_id", "left")
+    stores, n_stores = apply_rows(current["stores"], placed, STORE_RULES | {"category_id": PROVIDER_WINS}, provider)
+    offers = owned["coupons"].join(ids(stores, "store_provider_id", "store_id"), "store_provider_id", "left")
+    offers = offers.withColumn("status", published_status(F.col("status"), F.col("start_date"), F.col("expiry_date"), today))
+    coupons, n_coupons = apply_rows(current["coupons"], offers.filter("store_id is not null"), COUPON_RULES | {"start_date": PROVIDER_WINS}, provider, match_slug=False)
+    skipped = offers.agg(F.count_if(F.col("store_id").isNull()).alias("skipped"))
+    counts = n_categories.unionByName(n_stores).unionByName(n_coupons).agg(F.sum("created").alias("created"), F.sum("updated").alias("updated")).crossJoin(skipped)
+    return {"categories": categories, "stores": stores, "coupons": coupons}, counts
+
+
+def append_run(history: DataFrame, counts: DataFrame, provider: str, finished_at: str, errors: int = 0) -> DataFrame:
+    """K7: history with one row more: run_id, provider, finished_at, status, created, updated, skipped, errors."""
+    status = F.lit("failed" if errors else "success")
+    run = counts.select(
+        F.sha2(F.concat_ws("::", F.lit(provider), F.lit(finished_at)), 256).alias("run_id"), F.lit(provider).alias("provider"), F.lit(finished_at).cast("timestamp_ntz").alias("finished_at"),
+        F.when((F.col("skipped") > 0) & (status == "success"), "partial").otherwise(status).alias("status"), "created", "updated", "skipped", F.lit(errors).cast("long").alias("errors"),
+    )
+    return history.unionByName(run)
+
+
 def subscribe(subscribers: DataFrame, emails: DataFrame) -> DataFrame:
     """K5: new subscribers: normalised, valid addresses that are not there yet, once each."""
     email = F.lower(F.trim("email"))

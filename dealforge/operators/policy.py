@@ -134,9 +134,18 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFram
 
 
 def interleaved(offers: DataFrame, arrival: str) -> DataFrame:
-    """Published offers, one of every store in turn; stores in order of their first offer's arrival."""
+    """Published offers and their place: one of every store in turn, stores in order of their first offer's arrival.
+
+    The place is the number of offers at earlier positions, one sum a position, plus
+    the rank inside the position, which has one offer a store: no task gets a kind.
+    """
     first = offers.groupBy("kind", "store_key").agg(F.min(arrival).alias("store_first"))
-    return offers.filter("published").join(first, ["kind", "store_key"]).orderBy("kind", "position", "store_first", "store_key")
+    rows = offers.filter("published").join(first, ["kind", "store_key"])
+    earlier = Window.partitionBy("kind").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("kind", "position").agg(F.count("*").alias("n")).select("kind", "position", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("kind", "position").orderBy("store_first", "store_key"))
+    placed = rows.withColumn("inside", inside).join(before, ["kind", "position"])
+    return placed.withColumn("place", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
 
 
 def hold_reasons(offers: DataFrame) -> DataFrame:

@@ -30,6 +30,11 @@ def with_offer(clicks: DataFrame, coupons: DataFrame, stores: DataFrame, categor
     return out
 
 
+def clicks_of_offers(clicks: DataFrame, coupons: DataFrame, stores: DataFrame, categories: DataFrame) -> DataFrame:
+    """One row a clicked coupon, with its store, category and `clicks`: facts are counted before they are joined."""
+    return with_offer(clicks.groupBy("coupon_id").agg(F.count("*").alias("clicks")), coupons, stores, categories)
+
+
 def recent(clicks: DataFrame, since: str | None, row_cap: int | None = None) -> DataFrame:
     """Clicks from a time on; row_cap keeps the newest of them, as a page would."""
     out = clicks.filter(F.col("clicked_at") >= F.lit(since).cast("timestamp_ntz")) if since else clicks
@@ -39,15 +44,20 @@ def recent(clicks: DataFrame, since: str | None, row_cap: int | None = None) ->
 def clicks_per_day(clicks: DataFrame, first: str, last: str) -> DataFrame:
     """A3: day, clicks, for every day from first to last; days without a click have 0."""
     days = clicks.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
-    counts = clicks.groupBy(F.to_date("clicked_at").alias("day")).agg(F.count("*").alias("clicks"))
+    inside = (F.col("clicked_at") >= F.lit(first).cast("date")) & (F.col("clicked_at") < F.date_add(F.lit(last).cast("date"), 1))  # reaches the scan
+    counts = clicks.filter(inside).groupBy(F.to_date("clicked_at").alias("day")).agg(F.count("*").alias("clicks"))
     return days.join(counts, "day", "left").select("day", F.coalesce("clicks", F.lit(0)).alias("clicks"))
 
 
 def top_counts(rows: DataFrame, key: str | Column, name: str, limit: int | None = 10, keep_null: bool = False) -> DataFrame:
-    """Rows per key, most frequent first, ties by key; rows without a key do not count."""
+    """Clicks per key, most frequent first, ties by key; rows without a key do not count.
+
+    A row is one click, or as many as its column `clicks` says.
+    """
+    n = F.sum("clicks") if "clicks" in rows.columns else F.count("*")
     keyed = rows.withColumn(name, F.col(key) if isinstance(key, str) else key)
     keyed = keyed if keep_null else keyed.filter(F.col(name).isNotNull())
-    out = keyed.groupBy(name).agg(F.count("*").alias("clicks")).orderBy(F.desc("clicks"), name)
+    out = keyed.groupBy(name).agg(n.alias("clicks")).orderBy(F.desc("clicks"), name)
     return out.limit(limit) if limit else out
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from dealforge.functions import offers as of
 from dealforge.functions import text as tx
 from dealforge.operators import access, enrich, imports, merge, policy, reports
 from dealforge.plans.registry import query
-from dealforge.sources.catalogue import ARRIVAL, TODAY, oracle, view
+from dealforge.sources.catalogue import ARRIVAL, NOW, TODAY, base_table, oracle, view
 
 _ORDER = ", ".join(ARRIVAL)
 _SEQ = f"seq as (select *, row_number() over (order by {_ORDER}) as seq from promotions)"
@@ -313,16 +315,12 @@ def policy_rotation(spark, d):
 
 @query(
     oracle(
-        f", {_OFFERS}, f as (select kind, store_key, min(seq) as store_first from o group by 1, 2) select kind, provider_entity_id, row_number() over (partition by kind order by position, store_first, store_key)::int as place from decided join f using (kind, store_key) where hold_reason is null qualify place <= 200",
+        f", {_OFFERS}, f as (select kind, store_key, min(seq) as store_first from o group by 1, 2) select kind, provider_entity_id, row_number() over (partition by kind order by position, store_first, store_key)::int as place from decided join f using (kind, store_key) where hold_reason is null",
         "coupons",
     )
 )
 def policy_interleave(spark, d):
-    from pyspark.sql import Window
-
-    rows = policy.interleaved(_decided(spark, d).offers, "seq")
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("position", "store_first", "store_key"))
-    return rows.withColumn("place", place).filter("place <= 200").select("kind", "provider_entity_id", "place")
+    return policy.interleaved(_decided(spark, d).offers, "seq").select("kind", "provider_entity_id", "place")
 
 
 @query(oracle(f", {_OFFERS} select hold_reason, count(*) as count from decided where hold_reason is not null group by 1", "coupons"))
@@ -443,9 +441,9 @@ def audit_diff(spark, d):
     return access.audit_log(before, after, "n_nationkey", "nation").select("action", "entity", "entity_id")
 
 
-@query("select substr(trim(p_name), 1, 6) as query, count(*) as n from part where trim(p_name) <> '' group by 1")
+@query("select substr(trim(p_name), 1, 200) as query, count(*) as n from part where trim(p_name) <> '' group by 1")
 def append_searches(spark, d):
-    rows = merge.searches_to_append(view(spark, d, "part").select(F.concat(F.lit(" "), "p_name").alias("query")), 6)
+    rows = merge.searches_to_append(view(spark, d, "part").select(F.concat(F.lit(" "), "p_name").alias("query")))
     return rows.groupBy("query").agg(F.count("*").alias("n"))
 
 
@@ -461,3 +459,54 @@ def sync_statistics(spark, d):
 def constraint_checks(spark, d):
     rules = {"positive quantity": F.col("l_quantity") > 0, "discount below 5 %": F.col("l_discount") < 0.05}
     return access.check_constraints(view(spark, d, "lineitem"), rules, {"line is unique": ["l_orderkey", "l_linenumber"]})
+
+
+#: The tables and the payload of a whole import, from the base tables: some rows match by identity, some by slug, some are new, some coupons have no store.
+_IMPORT = """cur_cat as (select cast(n_nationkey as string) as id, n_name as name, lower(n_name) as slug, case when n_nationkey % 3 = 0 then 'net' end as provider, case when n_nationkey % 3 = 0 then concat('c', cast(n_nationkey as string)) end as provider_entity_id from nation),
+ in_cat as (select concat('c', cast(n_nationkey as string)) as provider_entity_id, upper(n_name) as name, lower(n_name) as slug from nation where n_nationkey % 2 = 0 union all select concat('new', cast(n_nationkey as string)), n_name, concat('new-', lower(n_name)) from nation where n_nationkey < 5),
+ cur_sto as (select concat('s', cast(s_suppkey as string)) as id, s_name as name, lower(s_name) as slug, case when s_suppkey % 4 = 0 then ' ' else 'old' end as description, cast(s_nationkey as string) as category_id, case when s_suppkey % 2 = 0 then 'net' end as provider, case when s_suppkey % 2 = 0 then concat('p', cast(s_suppkey as string)) end as provider_entity_id from supplier),
+ in_sto as (select concat('p', cast(s_suppkey as string)) as provider_entity_id, upper(s_name) as name, lower(s_name) as slug, 'fresh' as description, concat('c', cast(s_suppkey % 40 as string)) as category_provider_id from supplier where s_suppkey % 3 = 0 union all select concat('q', cast(s_suppkey as string)), s_name, concat('q-', lower(s_name)), null, 'new1' from supplier where s_suppkey % 10 = 1),
+ cur_cou as (select concat('k', cast(p_partkey as string)) as id, p_name as title, case when p_partkey % 5 = 0 then '' else 'kept terms' end as terms, 'OLD' as coupon_code, 'draft' as status, date '2024-02-01' as expiry_date, concat('s', cast(p_partkey % (select count(*) from supplier) as string)) as store_id, 'net' as provider, concat('o', cast(p_partkey as string)) as provider_entity_id from part where p_partkey % 2 = 0),
+ in_cou as (select concat('o', cast(p_partkey as string)) as provider_entity_id, case when p_partkey % 11 = 0 then null else upper(p_name) end as title, 'new terms' as terms, case when p_partkey % 4 = 0 then 'CODE' end as coupon_code, case p_partkey % 5 when 0 then 'expired' when 1 then '' when 2 then 'draft' when 3 then 'active' end as status,
+ case when p_partkey % 6 <> 0 then date '2024-01-21' + cast(p_partkey % 45 as int) end as expiry_date, case when p_partkey % 8 = 0 then date '2024-01-21' + cast(p_partkey % 20 as int) end as start_date, case when p_partkey % 7 = 0 then 'nobody' else concat('p', cast(p_partkey % (select count(*) from supplier) as string)) end as store_provider_id from part where p_partkey % 3 = 0)"""
+
+_IMPORTED = f"""with {_IMPORT},
+ mc as (select i.*, coalesce(a.id, b.id) as mid from in_cat i left join cur_cat a on a.provider_entity_id = i.provider_entity_id left join cur_cat b on b.slug = i.slug),
+ cats as (select coalesce(m.provider_entity_id, c.provider_entity_id) as pid, c.id from cur_cat c left join mc m on m.mid = c.id where m.mid is not null or c.provider = 'net' union all select provider_entity_id, sha256('net::' || provider_entity_id) from mc where mid is null),
+ ms as (select i.*, coalesce(a.id, b.id) as mid, cats.id as cid from in_sto i left join cur_sto a on a.provider_entity_id = i.provider_entity_id left join cur_sto b on b.slug = i.slug left join cats on cats.pid = i.category_provider_id),
+ stores2 as (select c.id, coalesce(m.name, c.name) as name, case when m.mid is null then c.description else coalesce(nullif(trim(c.description), ''), m.description) end as description, coalesce(m.cid, c.category_id) as category_id, coalesce(m.provider_entity_id, c.provider_entity_id) as pid, m.mid is not null or c.provider is not null as net from cur_sto c left join ms m on m.mid = c.id
+  union all select sha256('net::' || provider_entity_id), name, description, cid, provider_entity_id, true from ms where mid is null),
+ off as (select i.*, s.id as sid, case when i.expiry_date < date '2024-01-31' then 'expired' when i.start_date > date '2024-01-31' then 'draft' when i.status = 'expired' then 'active' else coalesce(nullif(i.status, ''), 'active') end as st from in_cou i left join stores2 s on s.net and s.pid = i.store_provider_id),
+ mo as (select o.*, c.id as mid from off o left join cur_cou c on c.provider_entity_id = o.provider_entity_id where sid is not null),
+ coupons2 as (select c.provider_entity_id, case when m.mid is null then c.title else coalesce(m.title, c.title) end as title, case when m.mid is null then c.terms else coalesce(nullif(trim(c.terms), ''), m.terms) end as terms, case when m.mid is null then c.coupon_code else m.coupon_code end as coupon_code,
+  case when m.mid is null then c.status else m.st end as status, case when m.mid is null then c.expiry_date else m.expiry_date end as expiry_date, case when m.mid is null then c.store_id else m.sid end as store_id from cur_cou c left join mo m on m.mid = c.id
+  union all select provider_entity_id, title, terms, coupon_code, st, expiry_date, sid from mo where mid is null)"""
+
+
+def _import(spark, d):
+    tables = {n: base_table(spark, d, n) for n in ("nation", "supplier", "part")}
+    text = re.sub(r"\bfrom (nation|supplier|part)\b", r"from {\1}", _IMPORT)
+    part = lambda name: spark.sql(f"with {text} select * from {name}", **tables)
+    current = {"categories": part("cur_cat"), "stores": part("cur_sto"), "coupons": part("cur_cou")}
+    return merge.import_apply(current, {"categories": part("in_cat"), "stores": part("in_sto"), "coupons": part("in_cou")}, "net", TODAY)
+
+
+@query(f"{_IMPORTED} select * from coupons2")
+def import_apply(spark, d):
+    return _import(spark, d)[0]["coupons"].select("provider_entity_id", "title", "terms", "coupon_code", "status", "expiry_date", "store_id")
+
+
+@query(f"{_IMPORTED} select id, name, description, category_id, pid as provider_entity_id from stores2")
+def import_apply_stores(spark, d):
+    return _import(spark, d)[0]["stores"].select("id", "name", "description", "category_id", "provider_entity_id")
+
+
+@query(f"{_IMPORTED} select (select count(*) from mc where mid is null) + (select count(*) from ms where mid is null) + (select count(*) from mo where mid is null) as created, (select count(*) from mc where mid is not null) + (select count(*) from ms where mid is not null) + (select count(*) from mo where mid is not null) as updated, (select count(*) from off where sid is null) as skipped")
+def import_apply_counts(spark, d):
+    return _import(spark, d)[1]
+
+
+@query(f"{_IMPORTED} select 'net' as provider, 'partial' as status, count(*) as skipped from off where sid is null")
+def run_history(spark, d):
+    none = spark.createDataFrame([], "run_id string, provider string, finished_at timestamp_ntz, status string, created long, updated long, skipped long, errors long")
+    return merge.append_run(none, _import(spark, d)[1], "net", NOW).select("provider", "status", "skipped")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealforge.functions.offers import nice_ceil
@@ -40,7 +43,7 @@ def clicks_by_coupon(spark, d):
 
 
 def _joined(spark, d):
-    return reports.with_offer(*[view(spark, d, n) for n in ("coupon_clicks", "coupons", "stores", "categories")])
+    return reports.clicks_of_offers(*[view(spark, d, n) for n in ("coupon_clicks", "coupons", "stores", "categories")])
 
 
 _JOINED = "from coupon_clicks k left join coupons c on c.id = k.coupon_id left join stores s on s.id = c.store_id left join categories g on g.id = s.category_id"
@@ -155,9 +158,9 @@ def any_column_search(spark, d):
     return catalog.facets(rows, "PLATE", ["title"])
 
 
-@query(oracle("select id, expiry_date from coupons order by expiry_date desc nulls last, id limit 500", "coupons"))
+@query(oracle("select id, expiry_date from coupons order by expiry_date desc nulls last, id", "coupons"))
 def null_last_sort(spark, d):
-    return catalog.sort_nulls_last(view(spark, d, "coupons").select("id", "expiry_date"), "expiry_date", True, "id").limit(500)
+    return catalog.sort_nulls_last(view(spark, d, "coupons").select("id", "expiry_date"), "expiry_date", True, "id")
 
 
 @query(oracle("select status, count(*) as n from coupons where status = 'active' group by 1", "coupons"))
@@ -170,6 +173,28 @@ def rls_click_insert(spark, d):
     return access.admissible_clicks(view(spark, d, "coupon_clicks"), view(spark, d, "coupons"), USER).select("id", "coupon_id")
 
 
+_CALLERS = "(select 'anon' as role, null as caller union all select 'user', 7 union all select 'admin', 7)"
+_PRIVATE = ("profiles", "user_roles", "subscribers", "newsletter_logs", "search_queries", "categories", "unknown_table")
+
+
+@query(
+    oracle(
+        f""", t as (select 'profiles' as tbl union all select 'user_roles' union all select 'subscribers' union all select 'newsletter_logs' union all select 'search_queries' union all select 'categories' union all select 'unknown_table')
+ select tbl, role, (select count(*) from search_queries q where tbl = 'categories' or (role = 'admin' and tbl in ('subscribers', 'newsletter_logs')) or (tbl in ('profiles', 'user_roles', 'search_queries') and q.user_id = caller)) as n from t, {_CALLERS} callers""",
+        "search_queries",
+    )
+)
+def rls_private_tables(spark, d):
+    rows = view(spark, d, "search_queries").withColumn("name", F.lit("x"))
+    seen = lambda table: rows.select(F.col("user_id").alias("id"), "name") if table == "profiles" else rows
+    counts = [
+        access.visible(seen(table), table, role, caller).agg(F.count("*").alias("n")).select(F.lit(table).alias("tbl"), F.lit(role).alias("role"), "n")
+        for table in _PRIVATE
+        for role, caller in (("anon", None), ("user", USER), ("admin", USER))
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(oracle("select coupon_id, created_at from saved_coupons where user_id = 7", "saved_coupons"))
 def rls_own_saves(spark, d):
     return access.visible(view(spark, d, "saved_coupons"), "saved_coupons", user_id=USER).select("coupon_id", "created_at")
