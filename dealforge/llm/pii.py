@@ -163,7 +163,7 @@ def disclosing_terms(based: DataFrame, generalise: float = GENERALISE) -> DataFr
     of_value = scratch(with_.select(F.explode("held").alias("value")).groupBy("value").agg(F.count("*").alias("of_value")).filter(enough("of_value")))
     held = with_.select("row", F.explode("held").alias("value")).join(of_value.select("value"), "value", "left_semi")
     held = held.groupBy(F.col("row").alias("h_row")).agg(F.collect_list("value").alias("values"))  # of one document
-    pairs = with_.join(held, F.col("row") == F.col("h_row")).select("values", F.explode(terms_of(F.col("outside"))).alias("term")).select("term", F.explode("values").alias("value"))
+    pairs = with_.join(held.hint("merge"), F.col("row") == F.col("h_row")).select("values", F.explode(terms_of(F.col("outside"))).alias("term")).select("term", F.explode("values").alias("value"))
     both = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(enough("both")))
     each = based.select(F.explode(terms_of(F.col("outside"))).alias("t_term"))
     asked = scratch(both.select(F.col("term").alias("a_term")).distinct())
@@ -220,7 +220,7 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     if hit.count() > BROADCAST_ROWS:
         return based.join(hit, F.col("row") == F.col("h_row"), "left").select("own", "text", spans)
     rows = F.broadcast(hit.select(F.col("h_row").alias("r_row")))  # only texts with told terms are shuffled
-    with_ = based.join(rows, F.col("row") == F.col("r_row"), "left_semi").join(hit, F.col("row") == F.col("h_row")).select("own", "text", spans)
+    with_ = based.join(rows, F.col("row") == F.col("r_row"), "left_semi").join(hit.hint("merge"), F.col("row") == F.col("h_row")).select("own", "text", spans)  # maps of terms are too wide to broadcast
     return with_.unionByName(based.join(rows, F.col("row") == F.col("r_row"), "left_anti").select("own", "text", F.array_sort(base).alias("spans")))
 
 
