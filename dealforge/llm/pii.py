@@ -220,7 +220,8 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     if hit.count() > BROADCAST_ROWS:
         return based.join(hit, F.col("row") == F.col("h_row"), "left").select("own", "text", spans)
     rows = F.broadcast(hit.select(F.col("h_row").alias("r_row")))  # only texts with told terms are shuffled
-    with_ = based.join(rows, F.col("row") == F.col("r_row"), "left_semi").join(hit.hint("merge"), F.col("row") == F.col("h_row")).select("own", "text", spans)  # maps of terms are too wide to broadcast
+    asked = based.drop("text").join(rows, F.col("row") == F.col("r_row"), "left_semi").join(hit.hint("merge"), F.col("row") == F.col("h_row"))
+    with_ = asked.withColumn("text", F.coalesce("own.text", F.lit(""))).select("own", "text", spans)  # maps of terms are too wide to broadcast
     return with_.unionByName(based.join(rows, F.col("row") == F.col("r_row"), "left_anti").select("own", "text", F.array_sort(base).alias("spans")))
 
 
