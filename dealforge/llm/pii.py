@@ -147,31 +147,41 @@ def smoothed_ratio(both: Column, of_value: Column, of_term: Column, total: Colum
     return F.round(F.log(both * total / (of_value * of_term)) / F.log(total / of_value) * (both / (both + SMOOTHING)), 6)
 
 
+#: Stands for any entity; no value or kind is an empty text.
+ANY = ""
+
+
 def disclosing_terms(based: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """term, ratio: the terms that reveal some entity at least as strongly as `generalise`, by the largest ratio.
 
     based: row, base (spans), outside (the text without them). An entity is a value
     (email:a@b.c) or a kind of them (email). The smoothing bounds the ratio of
     whatever meets in b documents by b / (b + SMOOTHING), so that entities and pairs of
-    fewer documents than the threshold asks for need no further counting. All
-    counts are combined in each task before they are dealt out.
+    fewer documents than the threshold asks for need no further counting. Documents
+    with an entity that hold a term are a part of all that hold it: a pair whose ratio
+    is too small with their number is so with any, and only the terms of other pairs
+    are counted over the corpus. All counts are combined in each task before they are
+    dealt out.
     """
     enough = lambda n: F.col(n) / (F.col(n) + SMOOTHING) >= generalise
     names = lambda s: F.array(s["kind"], s["value"])
+    ratio = lambda of_term: smoothed_ratio(*map(F.col, ("both", "of_value", of_term, "total")))
     total = based.agg(F.count("*").alias("total"))
     with_ = based.filter(F.size("base") > 0).withColumn("held", F.array_distinct(F.flatten(F.transform("base", names))))
     of_value = scratch(with_.select(F.explode("held").alias("value")).groupBy("value").agg(F.count("*").alias("of_value")).filter(enough("of_value")))
     held = with_.select("row", F.explode("held").alias("value")).join(of_value.select("value"), "value", "left_semi")
-    held = held.groupBy(F.col("row").alias("h_row")).agg(F.collect_list("value").alias("values"))  # of one document
+    held = held.groupBy(F.col("row").alias("h_row")).agg(F.array_append(F.collect_list("value"), F.lit(ANY)).alias("values"))  # of one document
     pairs = with_.join(held.hint("merge"), F.col("row") == F.col("h_row")).select("values", F.explode(terms_of(F.col("outside"))).alias("term")).select("term", F.explode("values").alias("value"))
-    both = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(enough("both")))
+    met = scratch(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).filter(enough("both")))
+    least = met.filter(F.col("value") == ANY).select("term", F.col("both").alias("least"))
+    both = met.filter(F.col("value") != ANY).join(of_value, "value").join(least, "term").crossJoin(F.broadcast(total)).filter("of_value < total")
+    both = scratch(both.filter(ratio("least") >= generalise).drop("least"))
     each = based.select(F.explode(terms_of(F.col("outside"))).alias("t_term"))
     asked = scratch(both.select(F.col("term").alias("a_term")).distinct())
     if asked.count() <= BROADCAST_TERMS:  # beyond, all terms are counted and then joined
         each = each.join(F.broadcast(asked), F.col("t_term") == F.col("a_term"), "left_semi")
     of_term = each.groupBy("t_term").agg(F.count("*").alias("of_term"))
-    joined = both.join(of_value, "value").join(of_term, F.col("term") == F.col("t_term")).crossJoin(F.broadcast(total))
-    told = joined.filter("of_value < total").withColumn("ratio", smoothed_ratio(*map(F.col, ("both", "of_value", "of_term", "total"))))
+    told = both.join(of_term, F.col("term") == F.col("t_term")).withColumn("ratio", ratio("of_term"))
     return scratch(told.filter(F.col("ratio") >= generalise).groupBy("term").agg(F.max("ratio").alias("ratio")))
 
 
@@ -194,6 +204,29 @@ def broader_terms(told: DataFrame, hierarchy: dict[str, str]) -> DataFrame:
 SPAN = "struct<start:int,rank:int,kind:string,end:int,broader:string>"
 
 
+def base_and_added(docs: DataFrame, generalise: float, remove: float, hierarchy: dict[str, str] | None) -> tuple[DataFrame, DataFrame]:
+    """Two tables: own, row, base of all rows; a_row, added of the rows with disclosing terms.
+
+    The places of terms are found where the texts lie, so that spans are shuffled and texts are not.
+    """
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    based = scratch(own.select("own", F.monotonically_increasing_id().alias("row"), entities(F.col("text")).alias("base")))
+    open_ = based.select("row", "base", blanked(F.coalesce("own.text", F.lit("")), F.col("base")).alias("outside"))
+    told = scratch(broader_terms(disclosing_terms(open_, generalise), HIERARCHY if hierarchy is None else hierarchy))
+    few = told.count() <= BROADCAST_TERMS
+    gone = F.col("ratio") >= remove
+    span = F.struct(F.col("m.start").alias("start"), F.when(gone, 5).otherwise(4).alias("rank"), F.when(gone, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("kind"), F.col("m.end").alias("end"), "broader")
+    places = open_.select("row", F.explode(matches(F.col("outside"), TERM)).alias("m"))
+    placed = places.join(F.broadcast(told) if few else told, F.lower("m.m") == F.col("term")).select(F.col("row").alias("a_row"), span.alias("span"))
+    return based, placed.groupBy("a_row").agg(F.collect_list("span").alias("added"))  # of one document
+
+
+def every_span() -> Column:
+    """base and added of one row, sorted."""
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("broader")))
+    return F.array_sort(F.concat(base, F.coalesce("added", F.array().cast(f"array<{SPAN}>")))).alias("spans")
+
+
 def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, hierarchy: dict[str, str] | None = None) -> DataFrame:
     """own (a struct of all columns of docs), text, spans: one row per row of docs.
 
@@ -202,27 +235,15 @@ def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove:
     span, also in rows without an entity. Repeated rows count as documents each and
     get equal spans. Columns of docs may have any names; an empty table gives no rows.
     """
-    own = docs.select(F.struct(*docs.columns).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
-    based = scratch(own.select("own", F.monotonically_increasing_id().alias("row"), entities(F.col("text")).alias("base"))).withColumn("text", F.coalesce("own.text", F.lit("")))
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("broader")))
-    outside = blanked(F.col("text"), F.col("base"))
-    open_ = based.select("row", "base", outside.alias("outside"))
-    told = scratch(broader_terms(disclosing_terms(open_, generalise), HIERARCHY if hierarchy is None else hierarchy))  # its size decides how it is joined
-    each = open_.select("row", F.explode(terms_of(F.col("outside"))).alias("t_term"))
-    hit = each.join(told, F.col("t_term") == F.col("term")).groupBy(F.col("row").alias("h_row"))
-    hit = scratch(hit.agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("ratio", "broader")))).alias("told")))  # of one document
-    known = lambda x: F.try_element_at("told", F.lower(x["m"]))
-    kind = lambda x: F.when(known(x)["ratio"] >= remove, F.lit(REMOVED)).otherwise(F.lit(GENERALISED))
-    span = lambda x: F.struct(x["start"].alias("start"), F.when(known(x)["ratio"] >= remove, 5).otherwise(4).alias("rank"), kind(x).alias("kind"), x["end"].alias("end"), known(x)["broader"].alias("broader"))
-    places = F.filter(matches(outside, TERM), lambda x: known(x).isNotNull())
-    added = F.when(F.col("told").isNotNull(), F.transform(places, span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    spans = F.array_sort(F.concat(base, added)).alias("spans")
-    if hit.count() > BROADCAST_ROWS:
-        return based.join(hit, F.col("row") == F.col("h_row"), "left").select("own", "text", spans)
-    rows = F.broadcast(hit.select(F.col("h_row").alias("r_row")))  # only texts with told terms are shuffled
-    asked = based.drop("text").join(rows, F.col("row") == F.col("r_row"), "left_semi").join(hit.hint("merge"), F.col("row") == F.col("h_row"))
-    with_ = asked.withColumn("text", F.coalesce("own.text", F.lit(""))).select("own", "text", spans)  # maps of terms are too wide to broadcast
-    return with_.unionByName(based.join(rows, F.col("row") == F.col("r_row"), "left_anti").select("own", "text", F.array_sort(base).alias("spans")))
+    based, added = base_and_added(docs, generalise, remove, hierarchy)
+    added = scratch(added)
+    found = ["own", F.coalesce("own.text", F.lit("")).alias("text"), every_span()]
+    if added.count() > BROADCAST_ROWS:
+        return based.join(added, F.col("row") == F.col("a_row"), "left").select(*found)
+    rows = F.broadcast(added.select(F.col("a_row").alias("h_row")))  # only texts with told terms are shuffled
+    asked = based.join(rows, F.col("row") == F.col("h_row"), "left_semi").join(added.hint("merge"), F.col("row") == F.col("a_row"))
+    rest = based.join(rows, F.col("row") == F.col("h_row"), "left_anti").withColumn("added", F.lit(None).cast(f"array<{SPAN}>"))
+    return asked.select(*found).unionByName(rest.select(*found))
 
 
 def listed(spans: Column) -> Column:
@@ -242,7 +263,7 @@ def sanitised(text: Column, spans: Column) -> Column:
     return replaced(text, spans, lambda x, reach: F.when(x["start"] >= reach, put(x)).otherwise(""))
 
 
-def personal_data(docs: DataFrame, **options) -> DataFrame:
+def personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, hierarchy: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of docs.
 
     A null or empty text has no spans (the digest of the empty list); an empty table
@@ -250,7 +271,8 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     go by kind; other columns than doc_id and text are not read, whatever their names.
     A very long text is searched whole.
     """
-    found = find_personal_data(docs.select("doc_id", "text"), **options).select("own.doc_id", "spans")
+    based, added = base_and_added(docs.select("doc_id", "text"), generalise, remove, hierarchy)
+    found = based.select("own.doc_id", "row", "base").join(added.hint("merge"), F.col("row") == F.col("a_row"), "left").select("doc_id", every_span())
     base = F.filter("spans", lambda s: s["rank"] < len(PATTERNS))
     of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in PATTERNS]
