@@ -325,17 +325,22 @@ def connect(links: DataFrame, loops: bool = False) -> DataFrame:
     """node, label: the least node that each linked node can reach (with loops: least nodes too).
 
     Alternates large and small stars: every node hands its neighbours on to the
-    least of them, until all edges end in a least node. No neighbourhood is gathered.
+    least of them, until all edges end in a least node. No neighbourhood is gathered,
+    and the edges of a node with many neighbours stay where they are.
     """
+
+    def handed_on(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """u, v, m: the edges with the least neighbour of u (or u); and one row a node u with it."""
+        least = scratch(edges.groupBy(F.col("u").alias("t_value")).agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("degree")))
+        return joined_by_value(edges.withColumnRenamed("u", "value"), least, "degree").withColumnRenamed("value", "u"), least.select(F.col("t_value").alias("u"), "m")
+
     edges = scratch(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = None
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
-        least = least.select("m_u", F.least("m", "m_u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("m_u")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("m_u")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("m_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("m_u", "m")).filter("u != v").distinct()
+        large, _ = handed_on(edges.union(edges.select("v", "u")))
+        large = scratch(large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small, least = handed_on(large)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).filter("u != v").distinct()
         edges = scratch(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:

@@ -110,3 +110,24 @@ def test_shingles_use_ascii_blanks_and_case():
     a, b = (neardup.shingle_set(t, 2).tolist() for t in ("A\u00a0b C", "a B\u00a0c"))
     assert len(a) == 1 and a != b  # only A-Z fold, and a wide blank divides nothing
     assert len(neardup.shingle_set("x y x y x", 2)) == 2 and len(neardup.shingle_set("Ä b", 5)) == 1
+
+
+def test_connects_stars_and_chains(spark, monkeypatch):
+    """Hubs above HOT, as least and as greatest node, chains, and loops."""
+    monkeypatch.setattr(neardup, "HOT", 4)
+    rng = random.Random(5)
+    edges = [(0, k) for k in range(1, 30)] + [(k, 99) for k in range(60, 90)] + [(k, k + 1) for k in range(100, 120)] + [(200, 200)]
+    edges += [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(25)]
+    links = spark.createDataFrame(edges, "a long, b long").selectExpr("to_binary(lpad(hex(a), 4, '0'), 'hex') as a", "to_binary(lpad(hex(b), 4, '0'), 'hex') as b")
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    loops = {a for a, b in edges if a == b}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    want = {x: y for x, y in label.items() if x != y}
+    number = lambda b: int.from_bytes(b, "big")
+    got = {number(r["node"]): number(r["label"]) for r in neardup.connect(links).collect()}
+    assert got == want
+    with_loops = {number(r["node"]): number(r["label"]) for r in neardup.connect(links, loops=True).collect()}
+    assert with_loops == want | {x: label[x] for x in loops if x not in want} and loops - linked
