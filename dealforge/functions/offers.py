@@ -30,6 +30,8 @@ MAXIMUM = r"(?i)(?:max(?:imum)?\s+(?:savings?|discount)|up\s+to)\D{0,12}([\d.,]+
 LIMIT = r"(?i)(?:limit(?:ed)?(?:\s+to)?|max(?:imum)?)\s+(\d+)\s+(?:use|order|redemption|purchase)"
 FREE_SHIPPING, BOGO, PERCENT = r"free\s*ship", "bogo|buy one|buy 1", r"(\d+(?:\.\d+)?)\s*%"
 DAY = 86_400.0
+# Fixed value: what the address of a logo of our own contains.
+HOSTED_LOGO = "/storage/v1/object/public/"
 
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -53,6 +55,11 @@ def as_timestamp(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")])
 
 
+def iso_date(c: Column) -> Column:
+    """The UTC day of a time, as yyyy-MM-dd; null for what is no time."""
+    return F.date_format(as_timestamp(c), "yyyy-MM-dd")
+
+
 def date_range(c: Column) -> Column:
     """A "start/end" text as a struct of two timestamps."""
     return F.struct(as_timestamp(F.trim(F.split_part(c, F.lit("/"), F.lit(1)))).alias("start"), as_timestamp(F.nullif(F.trim(F.split_part(c, F.lit("/"), F.lit(2))), F.lit(""))).alias("end"))
@@ -126,6 +133,16 @@ def tracking(ad: Column, direct: Column, store: Column, uri: Column, campaign: C
     )
 
 
+def tracking_source(url: Column, warning: Column, ad: Column) -> Column:
+    """Where an offer's tracking address came from."""
+    return F.when(as_string(url).isNull(), "none").when(F.lower(as_string(warning)).contains("campaign"), "campaign").when(as_string(ad).isNotNull(), "ad").otherwise("promotion")
+
+
+def logo_status(logo: Column) -> Column:
+    """Hosted by us, the provider's, or missing."""
+    return F.when(as_string(logo).isNull(), "missing").when(as_string(logo).contains(HOSTED_LOGO), "hosted").otherwise("provider")
+
+
 def currency_of(explicit: Column, text: Column) -> Column:
     """The first three letters of a field, else by the symbol in the text."""
     out = F.when(clean_string(explicit).isNotNull(), F.substring(F.upper(clean_string(explicit)), 1, 3))
@@ -256,6 +273,13 @@ def status_class(code: Column) -> Column:
     )
 
 
+def retry_after_ms(header: Column, now_ms: Column) -> Column:
+    """A Retry-After header as milliseconds from now: seconds, or an HTTP date; null if neither."""
+    seconds = F.trim(header).try_cast("double")
+    date = F.try_to_timestamp(F.regexp_extract(header, r"(\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)) * 1000).when(date.isNotNull(), F.greatest(date.cast("double") * 1000 - now_ms, F.lit(0.0)))
+
+
 def reset_time(reset: Column, now_ms: Column) -> Column:
     """A rate limit's reset as epoch milliseconds: epoch ms, epoch seconds, or seconds from now."""
     n = reset.try_cast("double")

@@ -112,6 +112,17 @@ def category_slug(c: Column) -> Column:
     return F.when(c.endswith("-offers"), c).otherwise(F.concat(c, F.lit("-offers")))
 
 
+def page_of_slug(c: Column) -> Column:
+    """Struct of kind (store, category, or null for none) and the slug without its suffix."""
+    made = lambda kind, suffix: F.struct(F.lit(kind).alias("kind"), F.substring(c, F.lit(1), F.length(c) - len(suffix)).alias("slug"))
+    return F.when(c.endswith("-coupons"), made("store", "-coupons")).when(c.endswith("-offers"), made("category", "-offers"))
+
+
+def xml_text(c: Column) -> Column:
+    """A text inside an XML element."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def is_conversational(c: Column) -> Column:
     """whether a query asks, rather than names a shop or an offer."""
     t = F.trim(c)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealforge.functions.offers import STATUSES, is_url
+from dealforge.functions.offers import STATUSES, is_url, usable_code
 
 
 def keep_last(df: DataFrame, identity: list[str], arrival: list[str]) -> DataFrame:
@@ -92,6 +92,12 @@ def tagged_union(**parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("type", F.lit(name)) for name, df in parts.items()])
 
 
+def split_offers(offers: DataFrame, code: str) -> tuple[DataFrame, DataFrame]:
+    """(coupons, deals): offers with a usable code, and the others."""
+    has = usable_code(F.col(code)).isNotNull()
+    return offers.filter(has), offers.filter(~has)
+
+
 def match_existing(incoming: DataFrame, existing: DataFrame, provider: str) -> DataFrame:
     """existing_id, matched_by and action for every incoming row.
 

@@ -104,6 +104,15 @@ def unsubscribe(subscribers: DataFrame, token: str) -> tuple[DataFrame, DataFram
     return subscribers.withColumn("active", F.when(hit, F.lit(False)).otherwise(F.col("active"))), subscribers.agg((F.count_if(hit) > 0).alias("done"))
 
 
+def touched(before: DataFrame, after: DataFrame, key: str, now: str) -> DataFrame:
+    """After, whose updated_at is now in rows that differ from before's of the same key, and in new ones."""
+    columns = [c for c in after.columns if c != "updated_at"]
+    old = before.select(F.col(key).alias("__key"), F.struct(*columns).alias("__old"), F.col("updated_at").alias("__at"))
+    same = F.struct(*columns).eqNullSafe(F.col("__old"))
+    at = F.when(same, F.col("__at")).otherwise(F.lit(now).cast("timestamp_ntz"))
+    return after.join(old, F.col(key) == F.col("__key"), "left").select(*columns, at.alias("updated_at"))
+
+
 def searches_to_append(queries: DataFrame, length: int = 200) -> DataFrame:
     """K3: trimmed, cut, without blank ones."""
     return queries.withColumn("query", F.substring(F.trim("query"), 1, length)).filter("query != ''")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealforge.functions.offers import round_half_up
-from dealforge.functions.text import is_clean_slug, norm_query
+from dealforge.functions.text import is_clean_slug, norm_query, xml_text
 
 
 def top_searches(queries: DataFrame, source: str = "search", limit: int = 10) -> DataFrame:
@@ -130,9 +130,14 @@ def sitemap(parts: list[DataFrame], build_date: str) -> DataFrame:
     return rows.filter(is_clean_slug(F.col("slug"))).groupBy("path").agg(F.max(valid).alias("lastmod"))
 
 
+# The envelope of a sitemap.
+SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+SITEMAP_TAIL = "</urlset>"
+
+
 def sitemap_xml(entries: DataFrame, site: str) -> DataFrame:
-    """One <url> element per entry, in order of paths."""
-    url = F.concat(F.lit("<url><loc>"), F.lit(site), "path", F.lit("</loc><lastmod>"), F.date_format("lastmod", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
+    """Path and one <url> element per entry, escaped. The envelope is SITEMAP_HEAD and SITEMAP_TAIL around each file's elements."""
+    url = F.concat(F.lit("<url><loc>"), xml_text(F.concat(F.lit(site), "path")), F.lit("</loc><lastmod>"), F.date_format("lastmod", "yyyy-MM-dd"), F.lit("</lastmod></url>"))
     return entries.select("path", url.alias("xml"))
 
 

@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-from dealforge.plans import import_queries, report_queries  # noqa: F401
+from dealforge.plans import function_queries, import_queries, report_queries  # noqa: F401
 from dealforge.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
