@@ -25,7 +25,8 @@ def merged(rule: str, old: Column, new: Column) -> Column:
     if rule == KEEP_OLD:
         return F.coalesce(old, new)
     if rule == MERGE_MAP:
-        return F.coalesce(F.map_concat(old, new), old, new)
+        kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))  # no key twice, whatever the session says of that
+        return F.coalesce(F.map_concat(kept, new), old, new)
     if rule == REPLACE_FILLED:
         return F.when(F.size(new) > 0, new).otherwise(old)
     return F.coalesce(new, old)
