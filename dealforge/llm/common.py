@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII blanks that end a word.
@@ -121,3 +121,39 @@ def map_columns(df: DataFrame, work, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+#: Letters A to Z lower-cased; every ASCII character but letters and digits is a blank.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def ascii_words(text: bytes | None, most: int = 1 << 20):
+    """Lists of the words of a UTF-8 text in order, each from some `most` bytes of it.
+
+    Words are runs of ASCII letters, lower-cased, digits and all other characters
+    outside ASCII.
+    """
+    plain, start = (text or b"").translate(_PLAIN), 0
+    while start < len(plain):
+        end = plain.find(b" ", start + most)
+        end = len(plain) if end < 0 else end
+        yield plain[start:end].split()
+        start = end
+
+
+def binary_text(text_col: str = "text") -> Column:
+    """A text as UTF-8 bytes, null for null: tasks read it without decoding."""
+    return F.col(text_col).cast("binary").alias("text")
+
+
+def numbered_by(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `place`, from 1 in the given order, as a table in the shared folder and a sum a range.
+
+    Ranges are numbered each by itself and moved by the sizes of the ranges before:
+    the only window over all rows has one row a range.
+    """
+    dealt = scratch(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__b_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(F.col("__part").alias("__b_part")).agg(F.count("*").alias("n")).select("__b_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(sizes), F.col("__part") == F.col("__b_part")).select(*df.columns, (inside + F.col("__before")).alias("place"))  # sizes: one row a partition
