@@ -51,6 +51,18 @@ def scratch(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind: the table takes their place."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder by whatever file system its path names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

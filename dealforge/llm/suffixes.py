@@ -15,18 +15,20 @@ levels of equal size merge into one of twice the size, as in binary counting. A
 keeps one suffix a core and context.
 
 Windows are looked at one by one only at edges: the documents that hold edges are read
-again, their windows hashed, and the least id of each hash tells which are known.
+again, and their windows' hashes sorted, sharded and scanned in the same manner, as
+arrays of one batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import arrow_schema, read_table, scratch
+from dealforge.llm.common import arrow_schema, freed_shuffles, kept_table, read_table, scratch
 
 LENGTH = 50
 CORE = 24
@@ -39,12 +41,14 @@ SHARD = 1 << 26
 BATCHES = 4
 #: Entries of a row of a level.
 ROW_ENTRIES = 1 << 20
+#: Contexts of a core in a task from which on the task itself calls them edges.
+MANY = 64
 #: A null id counts as larger than all others.
 NO_ID = np.iinfo(np.int64).max
 
-FIELDS = {"core": np.uint64, "ctx": np.uint64, "doc": np.uint32, "pos": np.uint32, "told": np.uint8, "ids": np.int64, "keys": np.int64}
+FIELDS = {"core": np.uint64, "ctx": np.uint64, "doc": np.uint32, "pos": np.uint32, "told": np.uint8, "ids": np.int64, "keys": np.int32}
 ROWS = "shard int, level int, " + ", ".join(f"{name} binary" for name in FIELDS)
-MARKS = "id long, key long, edge boolean, places binary"
+MARKS = "id long, key int, edge boolean, places binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -188,6 +192,24 @@ def contested(e: dict[str, np.ndarray]) -> np.ndarray:
     return np.repeat((contexts > 1) & several, np.diff(starts, append=len(e["core"])))
 
 
+def frequent(e: dict[str, np.ndarray], many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of cores with more than `many` contexts, at several ids; and a few of each core that still show it.
+
+    A core that stands in very many documents so costs its shard a few rows a task.
+    """
+    frequent_, shown = np.zeros(len(e["core"]), bool), np.zeros(len(e["core"]), bool)
+    if len(e["core"]):
+        starts = np.flatnonzero(changes(e["core"]))
+        contexts = np.add.reduceat(changes(e["core"], e["ctx"]).astype(np.int64), starts)
+        ends = np.append(starts[1:], len(e["core"]))
+        for a, b in zip(starts[contexts > many], ends[contexts > many]):
+            ids = e["id"][a:b]
+            if ids.min() < ids.max():
+                frequent_[a:b] = True
+                shown[[a, b - 1, a + ids.argmin(), a + ids.argmax()]] = True  # two contexts and two ids at least
+    return frequent_, shown
+
+
 def packed(values: np.ndarray) -> bytes:
     """All first bytes, then all second ones ...: what is alike compresses."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
@@ -222,16 +244,20 @@ def marks_of(e: dict[str, np.ndarray], edge: bool) -> list[dict]:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null: NO_ID), key and text (bytes, null for null) of docs, beside its own id."""
+    """id (null: NO_ID), key (tells rows of one id apart) and text (bytes, none for null) of docs, beside its own id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.hash(text).alias("key"), F.encode(text, "UTF-8").alias("text"))
 
 
 EMPTY = {"id": None, "key": None, "edge": None, "places": None}
+NO_ROW = {"shard": None, "level": None} | dict.fromkeys(FIELDS)
+
 
+def local_arrays(docs: DataFrame, shards: int, entries: Callable) -> DataFrame:
+    """Rows of ROWS and MARKS: each task's entries by shard, and those that are covered within the task.
 
-def local_arrays(docs: DataFrame, shards: int) -> DataFrame:
-    """Rows of ROWS and MARKS: each task's suffixes by shard, and those that are covered within the task."""
+    entries(batch) yields core, ctx, row, pos, told in portions, with the bytes of text behind them.
+    """
     import pyarrow as pa
 
     arrow = arrow_schema(f"{ROWS}, {MARKS}")
@@ -244,28 +270,50 @@ def local_arrays(docs: DataFrame, shards: int) -> DataFrame:
 
             def flush():
                 e = joined(waiting)
-                e |= {"id": ids[e["row"]], "key": keys[e["row"]], "told": np.zeros(len(e["row"]), np.uint8)}
+                e |= {"id": ids[e["row"]], "key": keys[e["row"]]}
                 e.pop("row")
                 e = suffix_array(e)
                 old = known(e)
-                rows = [none | {"shard": i % shards} | mark for i, mark in enumerate(marks_of(taken(e, old), edge=False))]
+                rows = [none | {"shard": i % shards} | mark for i, mark in enumerate(marks_of(taken(e, old & (e["told"] == 0)), edge=False))]
                 e = taken(e, ~old)
-                # the high bits of the product: the low ones alone would follow the sampling
+                many, told = frequent(e)
+                rows += [none | {"shard": i % shards} | mark for i, mark in enumerate(marks_of(taken(e, many & (e["told"] == 0)), edge=True))]
+                e["told"] |= many.astype(np.uint8)
+                e = taken(e, ~many | told)
+                # high bits of the product: low ones alone would follow the sampling
                 shard = ((e["core"] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)) % np.uint64(shards)
                 for s in np.unique(shard):
                     rows.append(row_of(taken(e, shard == s), int(s), 0) | EMPTY)
                 return pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-            for group in text_groups(batch.column("text").to_pylist()):
-                waiting.append(anchors(group))
-                size += group.size
+            for portion, n in entries(batch):
+                waiting.append(portion)
+                size += n
                 if size >= LOCAL:
                     yield flush()
                     waiting, size = [], 0
             if waiting:
                 yield flush()
 
-    return docs.select("id", "key", "text").mapInArrow(run, f"{ROWS}, {MARKS}")
+    return docs.mapInArrow(run, f"{ROWS}, {MARKS}")
+
+
+def anchor_entries(batch):
+    for group in text_groups(batch.column("text").to_pylist()):
+        e = anchors(group)
+        yield e | {"told": np.zeros(len(e["core"]), np.uint8)}, group.size
+
+
+def gathered(table) -> tuple[dict[str, np.ndarray] | None, list[dict]]:
+    """A shard's entries in order, with the level they come from, and the marks that pass through it."""
+    held, marks = [], []
+    for row in table.to_pylist():
+        if row["core"] is None:
+            marks.append(NO_ROW | {name: row[name] for name in EMPTY})
+        else:
+            e = entries_of(row)
+            held.append(e | {"level": np.full(len(e["core"]), row["level"], np.int8)})
+    return (suffix_array(joined(held)) if held else None), marks
 
 
 class SuffixIndex:
@@ -287,27 +335,19 @@ class SuffixIndex:
         while len(merging) in self.levels:
             merging.append(len(merging))
         number, arrow = len(merging), arrow_schema(f"{ROWS}, {MARKS}")
-        none = {"shard": None, "level": None} | dict.fromkeys(FIELDS)
-        rows = local_arrays(docs, self.shards)
+        rows = local_arrays(docs.select("id", "key", "text"), self.shards, anchor_entries)
         for level, table in self.levels.items():
             rows = rows.unionByName(table.withColumn("level", F.lit(level + 1)), allowMissingColumns=True)
 
         def scan(table: pa.Table) -> pa.Table:
-            held, out = [], []
-            for row in table.to_pylist():
-                if row["core"] is None:
-                    out.append(none | {name: row[name] for name in EMPTY})
-                else:
-                    e = entries_of(row)
-                    held.append(e | {"level": np.full(len(e["core"]), row["level"], np.int8)})
-            if held:
-                e = suffix_array(joined(held))
+            e, out = gathered(table)
+            if e:
                 fresh = e["level"] == 0
                 covered = known(e) & fresh
-                out += [none | mark for mark in marks_of(taken(e, covered), edge=False)]
+                out += [NO_ROW | mark for mark in marks_of(taken(e, covered), edge=False)]
                 e = taken(e, ~covered)
                 edge = contested(e) & (e["told"] == 0)
-                out += [none | mark for mark in marks_of(taken(e, edge), edge=True)]
+                out += [NO_ROW | mark for mark in marks_of(taken(e, edge), edge=True)]
                 e["told"] |= edge.astype(np.uint8)
                 if keep:
                     shard = int(table.column("shard")[0].as_py())
@@ -316,7 +356,8 @@ class SuffixIndex:
                         out.append(row_of(taken(e, own[a : a + ROW_ENTRIES]), shard, number) | EMPTY)
             return pa.Table.from_pylist(out, schema=arrow)
 
-        result = scratch(rows.groupBy("shard").applyInArrow(scan, f"{ROWS}, {MARKS}"))
+        with freed_shuffles(self.spark):
+            result = scratch(rows.groupBy("shard").applyInArrow(scan, f"{ROWS}, {MARKS}"))
         if keep:
             self.levels = {n: t for n, t in self.levels.items() if n not in merging} | {number: result.filter("core is not null").drop(*EMPTY)}
         return result.filter("core is null").select(*EMPTY)
@@ -340,42 +381,37 @@ def covered_spans(size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return merged_spans(np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, size))
 
 
-def edge_windows(docs: DataFrame, ask: bool) -> DataFrame:
-    """hash, id of the windows around edges, once a task's batch; to ask: hash, id, key, start of those that are not covered whole."""
+def window_entries(batch):
+    """The windows around a batch's edges; told marks those that covered suffixes cover whole."""
+    for row, (text, edges, covered) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("text", "edges", "covered")))):
+        at = all_places(edges)
+        low, high = covered_spans(len(text), all_places(covered))
+        first, last = merged_spans(np.maximum(at - BEFORE, 0), np.minimum(at, len(text) - LENGTH) + 1)
+        for a, b in zip(first.tolist(), last.tolist()):
+            for begin in range(a, b, PIECE):
+                starts = np.arange(begin, min(begin + PIECE, b))
+                hashes = Hashes(np.frombuffer(text[begin : int(starts[-1]) + LENGTH], np.uint8)).runs(LENGTH)
+                span = np.searchsorted(low, starts, side="right") - 1
+                told = (span >= 0) & (starts + LENGTH <= high[span]) if len(low) else np.zeros(len(starts), bool)
+                rows, ctx = np.full(len(starts), row), np.zeros(len(starts), np.uint64)
+                # an entry takes some 14 bytes of text in an array of suffixes
+                yield {"core": hashes, "ctx": ctx, "row": rows, "pos": starts.astype(np.uint32), "told": told.astype(np.uint8)}, 14 * len(starts)
+
+
+def known_windows(edged: DataFrame, shards: int) -> DataFrame:
+    """Rows of MARKS: where the windows start that are known from a smaller id."""
     import pyarrow as pa
 
-    schema = "hash long, id long, key long, start long" if ask else "hash long, id long"
-    arrow = arrow_schema(schema)
+    arrow = arrow_schema(f"{ROWS}, {MARKS}")
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            ids, keys = batch.column("id").to_pylist(), batch.column("key").to_pylist()
-            for row, (text, edges, covered) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("text", "edges", "covered")))):
-                at = all_places(edges)
-                first, last = merged_spans(np.maximum(at - BEFORE, 0), np.minimum(at, len(text) - LENGTH) + 1)
-                low, high = covered_spans(len(text), all_places(covered)) if ask else (None, None)
-                for a, b in zip(first.tolist(), last.tolist()):
-                    for a in range(a, b, PIECE):
-                        end = min(a + PIECE, b)
-                        starts = np.arange(a, end)
-                        hashes = Hashes(np.frombuffer(text[a : end + LENGTH - 1], np.uint8)).runs(LENGTH).view(np.int64)
-                        if ask:
-                            span = np.searchsorted(low, starts, side="right") - 1
-                            open_ = (span < 0) | (starts + LENGTH > high[span]) if len(low) else np.ones(len(starts), bool)
-                            starts, hashes = starts[open_], hashes[open_]
-                        found.append((hashes, np.full(len(hashes), ids[row]), np.full(len(hashes), keys[row]), starts))
-            if found:
-                columns = [np.concatenate(c) for c in zip(*found)]
-                if not ask:
-                    order = np.lexsort(columns[1::-1])
-                    columns = [c[order][changes(columns[0][order], columns[1][order])] for c in columns[:2]]
-                    starts = np.flatnonzero(changes(columns[0]))  # the least and the greatest id of a hash
-                    ends = np.append(starts[1:], len(columns[0])) - 1
-                    columns = [c[np.unique(np.concatenate([starts, ends]))] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
-
-    return docs.select("id", "key", "text", "edges", "covered").mapInArrow(run, schema)
+    def scan(table: pa.Table) -> pa.Table:
+        e, out = gathered(table)
+        if e:
+            out += [NO_ROW | mark for mark in marks_of(taken(e, known(e) & (e["told"] == 0)), edge=False)]
+        return pa.Table.from_pylist(out, schema=arrow)
+
+    rows = local_arrays(edged.select("id", "key", "text", "edges", "covered"), shards, window_entries)
+    return rows.groupBy("shard").applyInArrow(scan, f"{ROWS}, {MARKS}").select(*EMPTY)
 
 
 def without_spans(docs: DataFrame, id_type: str) -> DataFrame:
@@ -391,7 +427,7 @@ def without_spans(docs: DataFrame, id_type: str) -> DataFrame:
             for text, covered, starts in zip(*(batch.column(name).to_pylist() for name in ("text", "covered", "starts"))):
                 low, high = covered_spans(len(text), all_places(covered))
                 if starts:
-                    more = np.array(starts, np.int64)
+                    more = all_places(starts)
                     low, high = merged_spans(np.concatenate([low, more]), np.concatenate([high, more + LENGTH]))
                 ends = [0, *high.tolist()]
                 out["n_bytes"].append(len(text))
@@ -403,20 +439,21 @@ def without_spans(docs: DataFrame, id_type: str) -> DataFrame:
     return docs.select("doc_id", "text", "covered", "starts").mapInArrow(run, schema)
 
 
-def removed_by_marks(own: DataFrame, marks: DataFrame) -> DataFrame:
+def by_document(marks: DataFrame) -> DataFrame:
+    """id, key, edges, covered: the places of a document, as parts of bytes."""
+    of_kind = lambda kind: F.collect_list(F.when(F.col("edge") == kind, F.col("places")))
+    return marks.groupBy("id", "key").agg(of_kind(True).alias("edges"), of_kind(False).alias("covered"))
+
+
+def removed_by_marks(own: DataFrame, marks: DataFrame, shards: int) -> DataFrame:
     """doc_id, n_bytes, spans, kept of identified documents, from the marks of an index that has seen them."""
-    edge = F.when(F.col("edge"), F.col("places"))
-    by_doc = marks.groupBy("id", "key").agg(F.collect_list(edge).alias("edges"), F.collect_list(F.when(~F.col("edge"), F.col("places"))).alias("covered"))
-    table = scratch(own.join(by_doc, ["id", "key"], "left"))
-    edged = table.filter(F.size("edges") > 0)
-    sources = edge_windows(edged, ask=False).groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = sources.filter("first < last").select("hash", "first")
-    hits = edge_windows(edged, ask=True).join(shared, "hash").filter(F.col("id") > F.col("first"))
-    starts = hits.groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
-    resolved = edged.join(starts, ["id", "key"], "left")
-    plain = table.filter(F.coalesce(F.size("edges"), F.lit(0)) <= 0).withColumn("starts", F.lit(None).cast("array<bigint>"))
+    with freed_shuffles(own.sparkSession):
+        table = scratch(own.join(by_document(marks), ["id", "key"], "left"))
+        edged = table.filter(F.size("edges") > 0)
+        starts = scratch(known_windows(edged, shards).groupBy("id", "key").agg(F.collect_list("places").alias("starts")))
+    plain = table.filter(F.coalesce(F.size("edges"), F.lit(0)) <= 0).withColumn("starts", F.lit(None).cast("array<binary>"))
     id_type = own.schema["doc_id"].dataType.simpleString()
-    return without_spans(resolved, id_type).unionByName(without_spans(plain, id_type))
+    return without_spans(edged.join(starts, ["id", "key"], "left"), id_type).unionByName(without_spans(plain, id_type))
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,15 +469,19 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_i
     own = identified(docs, id_col, text_col)
     spark = docs.sparkSession
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD + 1)
+    shards = max(spark.sparkContext.defaultParallelism, size // SHARD + 1)
     middle = own.filter(F.col("id") < int(NO_ID)).approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(x) for x in middle}), None]
-    index, marks = SuffixIndex(spark, int(shards)), None
-    for n, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
-        above = F.lit(True) if low is None else F.col("id") > low
-        found = index.add(own.filter(above if high is None else above & (F.col("id") <= high)), keep=n + 2 < len(bounds))
-        marks = found if marks is None else marks.unionByName(found)
-    return removed_by_marks(own, marks)
+
+    def all_marks() -> DataFrame:
+        index, marks = SuffixIndex(spark, shards), None
+        for n, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+            above = F.lit(True) if low is None else F.col("id") > low
+            found = index.add(own.filter(above if high is None else above & (F.col("id") <= high)), keep=n + 2 < len(bounds))
+            marks = found if marks is None else marks.unionByName(found)
+        return marks
+
+    return removed_by_marks(own, kept_table(all_marks, spark), shards)
 
 
 def op12_suffix_array_dedup(spark, sf_dir):

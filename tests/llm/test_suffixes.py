@@ -69,6 +69,22 @@ def test_repeats_of_all_kinds(spark, batches, monkeypatch):
     assert digests(suffixes.remove_repeats(docs, batches)) == plain(rows)
 
 
+def test_a_passage_in_very_many_documents(spark):
+    """Its ends stand in more contexts than a task hands on; some documents hold parts of it and of one another."""
+    chance = random.Random(9)
+    text = lambda n: "".join(chance.choice("abcdefghij ") for _ in range(n))
+    passage, rows = text(90), []
+    for i in range(400):
+        cut = chance.choice([0, 0, 5, 20, 45])
+        rows.append((i, text(chance.randint(20, 60)) + passage[cut : 90 - chance.choice([0, 0, 7, 30])] + chance.choice(["one", "two", ""]) + text(chance.randint(0, 60))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    local = next(iter(suffixes.text_groups([t.encode() for _, t in rows])))
+    e = suffixes.anchors(local)
+    e = suffixes.suffix_array(e | {"id": e["row"], "key": e.pop("row"), "told": np.zeros(len(e["core"]), np.uint8)})
+    assert suffixes.frequent(e)[0].sum() > 200
+    assert digests(suffixes.remove_repeats(docs, 2)) == plain(rows)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     """What a text cut into pieces gives is what it gives in one."""
     chance = random.Random(3)
@@ -95,7 +111,7 @@ def test_levels_merge_geometrically(spark):
         marks = found if marks is None else marks.unionByName(found)
         seen.append(sorted(index.levels))
     assert seen == [[0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2]]
-    assert digests(suffixes.removed_by_marks(own, marks)) == plain([tuple(r) for r in docs.collect()])
+    assert digests(suffixes.removed_by_marks(own, marks, 3)) == plain([tuple(r) for r in docs.collect()])
 
 
 def test_empty_table(spark):
