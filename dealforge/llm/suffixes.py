@@ -34,13 +34,15 @@ LENGTH = 50
 CORE = 24
 BEFORE = LENGTH - CORE
 #: Bytes of texts that are hashed together, and whose suffixes are sorted before they leave the task.
-PIECE = 1 << 20
-LOCAL = 1 << 24
+PIECE = 1 << 19
+LOCAL = 1 << 23
 #: Bytes of texts for a shard, batches of a whole table.
-SHARD = 1 << 26
+SHARD = 1 << 25
 BATCHES = 4
 #: Entries of a row of a level.
 ROW_ENTRIES = 1 << 20
+#: What an array keeps of a core's hash: two cores that agree in it only cost looks at windows.
+SHORT = np.uint64(0xFFFFFFFFFFFF0000)
 #: Contexts of a core in a task from which on the task itself calls them edges.
 MANY = 64
 #: A null id counts as larger than all others.
@@ -151,7 +153,7 @@ def anchors(group: Texts) -> dict[str, np.ndarray]:
     part = np.searchsorted(rows[:, 1], at, side="right") - 1
     first, last = np.maximum(at - BEFORE, rows[part, 1]), np.minimum(at + LENGTH, rows[part, 2])
     shape = ((at - first) * 128 + (last - at)).astype(np.uint64)
-    return {"core": cores[at], "ctx": mixed(hashes.spans(first, last) + shape * np.uint64(0x94D049BB133111EB)), "row": rows[part, 0], "pos": (at - rows[part, 1] + rows[part, 5]).astype(np.uint32)}
+    return {"core": cores[at] & SHORT, "ctx": mixed(hashes.spans(first, last) + shape * np.uint64(0x94D049BB133111EB)), "row": rows[part, 0], "pos": (at - rows[part, 1] + rows[part, 5]).astype(np.uint32)}
 
 
 def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -171,8 +173,15 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Entries core, ctx, id, key, pos, told in order, equal ones once."""
-    e = taken(e, np.lexsort((e["pos"], e["key"], e["id"], e["ctx"], e["core"])))
+    """Entries core, ctx, id, key, pos, told in order of core, context and id."""
+    order = np.argsort(e["core"])
+    core = e["core"][order]
+    same = np.zeros(len(core) + 1, bool)
+    same[1:-1] = core[1:] == core[:-1]
+    tied = same[:-1] | same[1:]  # few: only their order is left to find
+    at = order[tied]
+    order[tied] = at[np.lexsort((e["id"][at], e["ctx"][at], e["core"][at]))]
+    e = taken(e, order)
     return taken(e, changes(e["core"], e["ctx"], e["id"], e["key"], e["pos"]))
 
 
@@ -211,12 +220,17 @@ def frequent(e: dict[str, np.ndarray], many: int = MANY) -> tuple[np.ndarray, np
 
 
 def packed(values: np.ndarray) -> bytes:
-    """All first bytes, then all second ones ...: what is alike compresses."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    """All first bytes, then all second ones ..., compressed: high bytes are much alike."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return zstandard.compress(planes, 1)
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -342,6 +356,8 @@ class SuffixIndex:
         def scan(table: pa.Table) -> pa.Table:
             e, out = gathered(table)
             if e:
+                shard = int(table.column("shard")[0].as_py())
+                del table
                 fresh = e["level"] == 0
                 covered = known(e) & fresh
                 out += [NO_ROW | mark for mark in marks_of(taken(e, covered), edge=False)]
@@ -350,7 +366,6 @@ class SuffixIndex:
                 out += [NO_ROW | mark for mark in marks_of(taken(e, edge), edge=True)]
                 e["told"] |= edge.astype(np.uint8)
                 if keep:
-                    shard = int(table.column("shard")[0].as_py())
                     own = np.flatnonzero((e["level"] <= number) & changes(e["core"], e["ctx"]))  # levels that don't merge keep theirs
                     for a in range(0, len(own), ROW_ENTRIES):
                         out.append(row_of(taken(e, own[a : a + ROW_ENTRIES]), shard, number) | EMPTY)
@@ -393,9 +408,9 @@ def window_entries(batch):
                 hashes = Hashes(np.frombuffer(text[begin : int(starts[-1]) + LENGTH], np.uint8)).runs(LENGTH)
                 span = np.searchsorted(low, starts, side="right") - 1
                 told = (span >= 0) & (starts + LENGTH <= high[span]) if len(low) else np.zeros(len(starts), bool)
-                rows, ctx = np.full(len(starts), row), np.zeros(len(starts), np.uint64)
+                rows, low_bits = np.full(len(starts), row), hashes & ~SHORT
                 # an entry takes some 14 bytes of text in an array of suffixes
-                yield {"core": hashes, "ctx": ctx, "row": rows, "pos": starts.astype(np.uint32), "told": told.astype(np.uint8)}, 14 * len(starts)
+                yield {"core": hashes & SHORT, "ctx": low_bits, "row": rows, "pos": starts.astype(np.uint32), "told": told.astype(np.uint8)}, 14 * len(starts)
 
 
 def known_windows(edged: DataFrame, shards: int) -> DataFrame:
