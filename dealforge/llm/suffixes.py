@@ -21,6 +21,7 @@ arrays of one batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealforge.llm.common import arrow_schema, freed_shuffles, kept_table, read_table, scratch
+from dealforge.llm.common import arrow_schema, delete, freed_shuffles, kept_table, read_table, scratch, shared_dir
 
 LENGTH = 50
 CORE = 24
@@ -37,7 +38,7 @@ BEFORE = LENGTH - CORE
 PIECE = 1 << 19
 LOCAL = 1 << 23
 #: Bytes of texts for a shard, batches of a whole table.
-SHARD = 1 << 25
+SHARD = 1 << 24
 BATCHES = 4
 #: Entries of a row of a level.
 ROW_ENTRIES = 1 << 20
@@ -181,7 +182,8 @@ def suffix_array(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     tied = same[:-1] | same[1:]  # few: only their order is left to find
     at = order[tied]
     order[tied] = at[np.lexsort((e["id"][at], e["ctx"][at], e["core"][at]))]
-    e = taken(e, order)
+    for name in e:  # one by one: the columns in the old order go at once
+        e[name] = e[name][order]
     return taken(e, changes(e["core"], e["ctx"], e["id"], e["key"], e["pos"]))
 
 
@@ -327,7 +329,11 @@ def gathered(table) -> tuple[dict[str, np.ndarray] | None, list[dict]]:
         else:
             e = entries_of(row)
             held.append(e | {"level": np.full(len(e["core"]), row["level"], np.int8)})
-    return (suffix_array(joined(held)) if held else None), marks
+    if not held:
+        return None, marks
+    e = joined(held)
+    held.clear()
+    return suffix_array(e), marks
 
 
 class SuffixIndex:
@@ -335,7 +341,7 @@ class SuffixIndex:
 
     def __init__(self, spark: SparkSession, shards: int):
         self.spark, self.shards = spark, shards
-        self.levels: dict[int, DataFrame] = {}
+        self.levels: dict[int, str] = {}
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Rows of MARKS for a batch of identified documents: covered suffixes, and edges of new and old ones.
@@ -350,8 +356,9 @@ class SuffixIndex:
             merging.append(len(merging))
         number, arrow = len(merging), arrow_schema(f"{ROWS}, {MARKS}")
         rows = local_arrays(docs.select("id", "key", "text"), self.shards, anchor_entries)
-        for level, table in self.levels.items():
-            rows = rows.unionByName(table.withColumn("level", F.lit(level + 1)), allowMissingColumns=True)
+        for level, path in self.levels.items():
+            table = self.spark.read.schema(f"{ROWS}, {MARKS}").parquet(path).filter("core is not null")
+            rows = rows.unionByName(table.withColumn("level", F.lit(level + 1)))
 
         def scan(table: pa.Table) -> pa.Table:
             e, out = gathered(table)
@@ -371,11 +378,21 @@ class SuffixIndex:
                         out.append(row_of(taken(e, own[a : a + ROW_ENTRIES]), shard, number) | EMPTY)
             return pa.Table.from_pylist(out, schema=arrow)
 
+        path = f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
         with freed_shuffles(self.spark):
-            result = scratch(rows.groupBy("shard").applyInArrow(scan, f"{ROWS}, {MARKS}"))
+            rows.groupBy("shard").applyInArrow(scan, f"{ROWS}, {MARKS}").write.parquet(path)
+        marks = scratch(self.spark.read.schema(f"{ROWS}, {MARKS}").parquet(path).filter("core is null").select(*EMPTY))
         if keep:
-            self.levels = {n: t for n, t in self.levels.items() if n not in merging} | {number: result.filter("core is not null").drop(*EMPTY)}
-        return result.filter("core is null").select(*EMPTY)
+            self.drop(merging)
+            self.levels[number] = path
+        else:
+            delete(self.spark, path)
+        return marks
+
+    def drop(self, levels: list[int]) -> None:
+        """Delete the tables of levels."""
+        for level in levels:
+            delete(self.spark, self.levels.pop(level))
 
 
 def all_places(parts: list[bytes] | None) -> np.ndarray:
@@ -494,6 +511,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_i
             above = F.lit(True) if low is None else F.col("id") > low
             found = index.add(own.filter(above if high is None else above & (F.col("id") <= high)), keep=n + 2 < len(bounds))
             marks = found if marks is None else marks.unionByName(found)
+        index.drop(list(index.levels))
         return marks
 
     return removed_by_marks(own, kept_table(all_marks, spark), shards)
