@@ -59,6 +59,29 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
  case l_returnflag when 'N' then 'ACTIVE' when 'R' then 'EXPIRED' else 'PENDING' end as state, cast(l_shipdate as date) as start_date,
  l_returnflag, l_linestatus from lineitem join part p on p.p_partkey = l_partkey""",
     ),
+    # Raw records of a provider as JSON: by their number some are whole, some lack what they need, some are no objects.
+    "raw_stores": (
+        ("supplier",),
+        """select s_suppkey as seq, case s_suppkey % 7
+ when 0 then concat('{"CampaignId":', cast(s_suppkey as string), ',"CampaignName":" ', s_name, ' ","AdvertiserId":"A', cast(s_suppkey % 3 as string), '","CampaignUrl":"https://shop.example/', cast(s_suppkey as string), '","Categories":["a"," b ","",7],"CampaignLogoUri":"//cdn.example.com/l.png","ContractStatus":"Active","Extra":{"q":[1]},"TrackingLink":"https://t.example/', cast(s_suppkey as string), '"}')
+ when 1 then concat('{"id":"s-', cast(s_suppkey as string), '","Name":"","ADVERTISERNAME":"', s_name, '","Categories":"a, b|c","Status":"Expired","note":true}')
+ when 2 then concat('{"AdvertiserId":', cast(s_suppkey as string), ',"advertiserId":', cast(s_suppkey as string), ',"AdvertiserName":"', s_name, '","country":"US","Logo":"junk","Commission":2.5,"shippingRegions":["US"," ","CA"]}')
+ when 3 then '{"Name":"only a name"}' when 4 then concat('{"Id":', cast(s_suppkey as string), ',"Name":null}') when 5 then '[1,2]' else '{"Id":' end as record from supplier""",
+    ),
+    "raw_offers": (
+        ("part",),
+        """select p_partkey as seq, case p_partkey % 6
+ when 0 then concat('{"PromotionIds":', cast(p_partkey as string), ',"PromotionTitle":"', p_name, '","CampaignId":7,"AdvertiserId":"A', cast(p_partkey % 3 as string), '","PromoCode":"C', cast(p_partkey as string), '","DiscountPercent":"', cast(p_size as string), '%","StartDate":"2024-01-05","EndDate":"2024-0', cast(1 + p_partkey % 4 as string), '-20","TrackingLink":"https://t.example/p","Terms":" some terms ","State":"ACTIVE","x":{"y":null}}')
+ when 1 then concat('{"Id":', cast(p_partkey as string), ',"Name":"Take $5 off ', p_name, '","CampaignId":"none such","PromotionEffectiveDates":"2024-01-01/2024-01-15","Status":"live","Uri":"/relative","Code":"None","Value":""}')
+ when 2 then concat('{"PromotionId":', cast(p_partkey as string), ',"Description":"BOGO on ', p_name, '","AdvertiserId":"A0","GenericRedemptionCode":"N/A","CouponCode":"X1"}')
+ when 3 then concat('{"Id":', cast(p_partkey as string), '}') when 4 then '{"Title":"no id"}' else 'null' end as record from part""",
+    ),
+    "raw_categories": (
+        ("nation",),
+        """select n_nationkey as seq, case n_nationkey % 4 when 0 then '7' when 1 then concat('{"CatalogName":"', n_name, '"}')
+ when 2 then concat('{"CategoryId":', cast(n_nationkey as string), ',"Name":"', n_name, '","ParentId":', cast(n_regionkey as string), ',"a":[1]}')
+ else concat('{"Id":"c', cast(n_nationkey as string), '","NAME":" ', n_name, '","CampaignId":""}') end as record from nation""",
+    ),
 }
 
 #: The columns whose order is the promotions' order of arrival.
@@ -79,7 +102,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _bound(text: str, needs: tuple[str, ...]) -> str:
     """The text with the tables after FROM and JOIN as parameters."""
-    return re.sub(rf"\b(from|join) ({'|'.join(needs)})\b", r"\1 {\2}", text)
+    plain = text.replace("{", "{{").replace("}", "}}")
+    return re.sub(rf"\b(from|join) ({'|'.join(needs)})\b", r"\1 {\2}", plain)
 
 
 def oracle(text: str, *names: str) -> str:

@@ -86,17 +86,19 @@ def config_errors(enabled: Column, base_url: Column, timeout_ms: Column, retries
 def unwrap(bodies: DataFrame, body: str, *keys: str) -> DataFrame:
     """S3: one row per record (JSON text) of each body: an array, a named array, or the first array of an object.
 
-    What is no object is no record (F16). The order of an object's keys is that of
-    the text, so the first array is found by scanning its top-level values.
+    What is no object is no record (F16). A body is parsed a fixed number of times,
+    whatever its keys: its values' types come from VARIANT, so that a text that looks
+    like an array is none, and its records keep the text they came in.
     """
     text = F.col(body)
+    parsed = bodies.withColumn("__types", F.from_json(text, "map<string,variant>")).withColumn("__texts", F.from_json(text, "map<string,string>"))
+    of_object = F.filter(F.map_entries("__types"), lambda e: F.schema_of_variant(e["value"]).startswith("ARRAY"))
+    names = F.transform(of_object, lambda e: e["key"])
+    named = [F.when(F.array_contains(names, k), F.lit(k)) for k in keys]
     array = "array<string>"
-    top = F.when(F.trim(text).startswith("["), F.from_json(text, array))
-    named = [F.from_json(F.get_json_object(text, f"$.{k}"), array) for k in keys]
-    values = F.transform(F.json_object_keys(text), lambda k: F.try_element_at(F.from_json(text, "map<string,string>"), k))
-    arrays = F.filter(values, lambda v: F.coalesce(F.trim(v).startswith("["), F.lit(False)))
-    records = F.coalesce(top, *named, F.from_json(F.get(arrays, 0), array))
-    return bodies.withColumn("record", F.explode(records)).filter(F.trim("record").startswith("{"))
+    records = F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, array)), F.from_json(F.try_element_at("__texts", F.coalesce(*named, F.get(names, 0))), array))
+    out = parsed.select(*bodies.columns, F.explode(records).alias("record"))
+    return out.filter(F.from_json("record", "map<string,variant>").isNotNull())
 
 
 class Page(InputPartition):
