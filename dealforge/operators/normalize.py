@@ -70,7 +70,8 @@ def picked(records: DataFrame, aliases: DataFrame, *carried: str) -> DataFrame:
 
     aliases: those of one entity. Keys match in any case; of keys that differ in case
     only the last one counts. A null or empty value is none. Every record gives a row,
-    also one without entries.
+    also one without entries. A record in which an object inside names a key twice has
+    no VARIANT form and counts as no object.
     """
     parsed = records.select(*carried, entries(F.col("record")).alias("entries"))
     rows = parsed.select(*carried, F.col("entries").isNotNull().alias("is_object"), F.posexplode_outer(last_of_each(F.transform("entries", lambda e: F.struct(F.lower(e["key"]).alias("lower"), e["key"].alias("key"), e["value"].alias("value"))), "lower")).alias("place", "e"))

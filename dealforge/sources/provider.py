@@ -88,17 +88,19 @@ def unwrap(bodies: DataFrame, body: str, *keys: str) -> DataFrame:
 
     What is no object is no record (F16). A body is parsed a fixed number of times,
     whatever its keys: its values' types come from VARIANT, so that a text that looks
-    like an array is none, and its records keep the text they came in.
+    like an array is none, and its records keep the text they came in. Where a nested
+    object names a key twice there is no VARIANT, and the texts have to tell.
     """
     text = F.col(body)
     parsed = bodies.withColumn("__types", F.from_json(text, "map<string,variant>")).withColumn("__texts", F.from_json(text, "map<string,string>"))
     of_object = F.filter(F.map_entries("__types"), lambda e: F.schema_of_variant(e["value"]).startswith("ARRAY"))
-    names = F.transform(of_object, lambda e: e["key"])
+    like_arrays = F.filter(F.map_entries("__texts"), lambda e: F.coalesce(F.ltrim(e["value"]).startswith("["), F.lit(False)))
+    names = F.coalesce(F.transform(of_object, lambda e: e["key"]), F.transform(like_arrays, lambda e: e["key"]))
     named = [F.when(F.array_contains(names, k), F.lit(k)) for k in keys]
     array = "array<string>"
     records = F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, array)), F.from_json(F.try_element_at("__texts", F.coalesce(*named, F.get(names, 0))), array))
     out = parsed.select(*bodies.columns, F.explode(records).alias("record"))
-    return out.filter(F.from_json("record", "map<string,variant>").isNotNull())
+    return out.filter(F.ltrim("record").startswith("{"))
 
 
 class Page(InputPartition):
