@@ -117,10 +117,11 @@ def resolve_stores(offers: DataFrame, stores: DataFrame) -> DataFrame:
     """store_ref of every offer, null if it has none: such offers are skipped (K1g).
 
     The store of its advertiser; else its campaign, then its store id, if known; else
-    its store id read as an advertiser. stores: provider_entity_id, advertiser_id.
+    its store id read as an advertiser. stores: provider_entity_id, advertiser_id, and
+    arrival: of stores that share an advertiser the last one to arrive is meant.
     """
     known = stores.select(F.col("provider_entity_id").alias("__known")).filter("__known is not null").distinct()
-    by_adv = stores.filter("advertiser_id is not null").groupBy(F.col("advertiser_id").alias("__adv")).agg(F.max("provider_entity_id").alias("__store"))
+    by_adv = stores.filter("advertiser_id is not null").groupBy(F.col("advertiser_id").alias("__adv")).agg(F.max_by("provider_entity_id", F.struct("arrival", "provider_entity_id")).alias("__store"))
     out = offers
     refs = []
     for i, (column, side) in enumerate((("advertiser_id", "adv"), ("campaign_id", "known"), ("store_ref_id", "known"), ("store_ref_id", "adv"))):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealforge.functions.offers import offer_status, policy_discount, round_half_up
+from dealforge.operators.ranking import placed
 
 UNASSIGNED = "__unassigned__"
 #: The order of ranking keys where a policy names none.
@@ -88,8 +89,9 @@ def apply_policy(offers: DataFrame, policy: Policy, today: str, cursors: DataFra
     cursors: kind, store_key, cursor. Adds published, hold_reason, rank (0 is best),
     position (place in the rotated ring).
 
-    Ranking needs the offers of a store and kind in order, which is one window; the
-    counts of it and the fair cap are aggregates. A disabled policy publishes all.
+    Ranking puts the offers of a store and kind in order, by ranges of them (see
+    ranking.placed): a store may hold any share of the offers. The counts and the fair
+    cap are aggregates. A disabled policy publishes all.
     """
     ready = prepared(offers, today)
     if not policy.enabled:
@@ -110,13 +112,13 @@ def apply_policy(offers: DataFrame, policy: Policy, today: str, cursors: DataFra
     limit = F.when(F.col("high") > 0, F.least("high", "size")).otherwise(F.col("size"))
     offset = F.when(F.lit(policy.rotation) & (F.col("size") > limit), F.pmod(F.coalesce("before", F.lit(0)), "size")).otherwise(0)
     sizes = sizes.withColumn("limit", limit).withColumn("offset", offset).withColumn("gated", (F.col("low") > 0) & (F.col("size") < F.col("low")))
-    ranked = fit.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "store_key").orderBy(*ranking_order(policy.completed()))) - 1)
-    placed = ranked.join(sizes, ["kind", "store_key"]).withColumn("position", F.pmod(F.col("rank") - F.col("offset"), F.col("size")))
+    ranked = placed(fit, ["kind", "store_key"], ranking_order(policy.completed()), "rank").withColumn("rank", F.col("rank") - 1)
+    ring = ranked.join(sizes, ["kind", "store_key"]).withColumn("position", F.pmod(F.col("rank") - F.col("offset"), F.col("size")))
     noun = F.concat(F.col("kind"), F.lit("s"))
     reason = F.when(F.col("gated"), F.concat(F.lit("store has fewer than the minimum of "), F.col("low").cast("string"), F.lit(" "), noun)).when(
         F.col("position") >= F.col("limit"), F.concat(F.lit("over the maximum of "), F.col("high").cast("string"), F.lit(" "), noun, F.lit(" per store"))
     )
-    decided = placed.withColumn("hold_reason", reason).select(*ready.columns, "hold_reason", "rank", "position")
+    decided = ring.withColumn("hold_reason", reason).select(*ready.columns, "hold_reason", "rank", "position")
     held = ready.filter("content_reason is not null").withColumn("hold_reason", F.col("content_reason"))
     out = decided.unionByName(held, allowMissingColumns=True).withColumn("published", F.col("hold_reason").isNull()).drop("content_reason")
     return Published(out, next_cursors(sizes, cursors, policy), policy)
@@ -137,15 +139,15 @@ def interleaved(offers: DataFrame, arrival: str) -> DataFrame:
     """Published offers and their place: one of every store in turn, stores in order of their first offer's arrival.
 
     The place is the number of offers at earlier positions, one sum a position, plus
-    the rank inside the position, which has one offer a store: no task gets a kind.
+    the rank inside the position. A position has one offer a store, the first one of
+    every store, so it is ranked by ranges, too.
     """
     first = offers.groupBy("kind", "store_key").agg(F.min(arrival).alias("store_first"))
     rows = offers.filter("published").join(first, ["kind", "store_key"])
     earlier = Window.partitionBy("kind").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("kind", "position").agg(F.count("*").alias("n")).select("kind", "position", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("kind", "position").orderBy("store_first", "store_key"))
-    placed = rows.withColumn("inside", inside).join(before, ["kind", "position"])
-    return placed.withColumn("place", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
+    ranked = placed(rows, ["kind", "position"], [F.asc("store_first"), F.asc("store_key")], "inside").join(before, ["kind", "position"])
+    return ranked.withColumn("place", (F.col("before") + F.col("inside")).cast("int")).drop("before", "inside")
 
 
 def hold_reasons(offers: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from dealforge.functions import offers as of
 from dealforge.functions import text as tx
-from dealforge.operators import access, enrich, imports, merge, policy, reports
+from dealforge.operators import access, digests, enrich, imports, merge, policy, reports
 from dealforge.plans.registry import query
+from dealforge.session import fresh_dir
 from dealforge.sources.catalogue import ARRIVAL, NOW, TODAY, base_table, oracle, view
 
 _ORDER = ", ".join(ARRIVAL)
@@ -202,16 +203,17 @@ def entity_match(spark, d):
 
 @query(
     oracle(
-        """, s as (select 'P' || id as provider_entity_id, case when id % 2 = 0 then 'A' || id end as advertiser_id from stores),
+        """, s0 as (select 'P' || id as provider_entity_id, case when id % 2 = 0 then 'A' || (id - id % 4) end as advertiser_id, (id * 7) % 101 as arrival from stores),
+ s as (select 'P' || id as provider_entity_id, null as advertiser_id from stores union all select arg_max(provider_entity_id, (arrival, provider_entity_id)), advertiser_id from s0 where advertiser_id is not null group by 2),
  o as (select id, case when id % 3 = 0 then 'A' || store_id end as advertiser_id, case when id % 5 = 0 then 'P' || store_id end as campaign_id, case when id % 7 = 0 then 'A' || store_id when id % 4 = 0 then 'P' || store_id end as store_ref_id from coupons)
- select o.id, coalesce(a.provider_entity_id, b.provider_entity_id, c.provider_entity_id, e.provider_entity_id) as store_ref from o left join s a on a.advertiser_id = o.advertiser_id left join s b on b.provider_entity_id = o.campaign_id
- left join s c on c.provider_entity_id = o.store_ref_id left join s e on e.advertiser_id = o.store_ref_id""",
+ select o.id, coalesce(a.provider_entity_id, b.provider_entity_id, c.provider_entity_id, e.provider_entity_id) as store_ref from o left join s a on a.advertiser_id = o.advertiser_id left join s b on b.provider_entity_id = o.campaign_id and b.advertiser_id is null
+ left join s c on c.provider_entity_id = o.store_ref_id and c.advertiser_id is null left join s e on e.advertiser_id = o.store_ref_id""",
         "coupons", "stores",
     )
 )
 def store_resolution(spark, d):
     c, named = F.col, lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
-    stores = view(spark, d, "stores").select(named("P", "id").alias("provider_entity_id"), F.when(c("id") % 2 == 0, named("A", "id")).alias("advertiser_id"))
+    stores = view(spark, d, "stores").select(named("P", "id").alias("provider_entity_id"), F.when(c("id") % 2 == 0, F.concat(F.lit("A"), (c("id") - c("id") % 4).cast("string"))).alias("advertiser_id"), (c("id") * 7 % 101).alias("arrival"))
     refs = F.when(c("id") % 7 == 0, named("A", "store_id")).when(c("id") % 4 == 0, named("P", "store_id"))
     offers = view(spark, d, "coupons").select("id", F.when(c("id") % 3 == 0, named("A", "store_id")).alias("advertiser_id"), F.when(c("id") % 5 == 0, named("P", "store_id")).alias("campaign_id"), refs.alias("store_ref_id"))
     return imports.resolve_stores(offers, stores).select("id", "store_ref")
@@ -323,6 +325,30 @@ def policy_interleave(spark, d):
     return policy.interleaved(_decided(spark, d).offers, "seq").select("kind", "provider_entity_id", "place")
 
 
+_HOT = "case when id % 2 = 0 then 'hot' else cast(id as string) end"
+
+
+@query(
+    oracle(
+        f""", o as (select case when coupon_type = 'code' then 'coupon' else 'deal' end as kind, {_HOT} as store_key, cast(id as string) as provider_entity_id, id, discount_value from coupons),
+ r as (select *, row_number() over (partition by kind, store_key order by case when kind = 'deal' then 0 else discount_value end desc, provider_entity_id) - 1 as rank, min(id) over (partition by kind, store_key) as first from o)
+ select kind, provider_entity_id, rank::int as rank, row_number() over (partition by kind order by rank, first, store_key)::int as place from r""",
+        "coupons",
+    )
+)
+def policy_hot_store(spark, d):
+    """One store holds half of all offers, and all others one each: both the ring and its first position are large."""
+    kind = F.when(F.col("coupon_type") == "code", "coupon").otherwise("deal")
+    key = F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string"))
+    none = F.lit(None).cast("date")
+    offers = view(spark, d, "coupons").select(
+        "id", kind.alias("kind"), key.alias("store_key"), F.col("id").cast("string").alias("provider_entity_id"), F.lit("active").alias("status"), none.alias("start_date"), none.alias("end_date"),
+        F.lit("percentage").alias("discount_type"), "discount_value", F.lit(0).alias("priority"), F.lit(False).alias("manually_disabled"),
+    )
+    decided = policy.apply_policy(offers, policy.Policy(ranking=("discount",)), TODAY).offers
+    return policy.interleaved(decided, "id").select("kind", "provider_entity_id", "rank", "place")
+
+
 @query(oracle(f", {_OFFERS} select hold_reason, count(*) as count from decided where hold_reason is not null group by 1", "coupons"))
 def policy_hold_reasons(spark, d):
     return policy.hold_reasons(_decided(spark, d).offers)
@@ -434,6 +460,24 @@ def subscribe_ignore(spark, d):
     return merge.subscribe(there, asked)
 
 
+_AUDIT = """, c as (select c_custkey as id, c_name as name, c_acctbal as balance from customer), n as (select max(id) + 1 as id from c)
+ select action, 'customer' as entity, id as entity_id, name, action || case when action like '%e' then 'd' else 'ed' end || ' customer ' || name as description from (
+  select case when id % 700 = 3 then 'delete' else 'update' end as action, id, case when id % 700 = 3 then name else lower(name) end as name from c where id % 700 = 3 or id % 500 = 7
+  union all select 'insert', id, 'someone new' from n)"""
+
+
+@query("with x as (select 1)" + _AUDIT.replace("action || case", "upper(action[1]) || action[2:] || case"))
+def audit_digests(spark, d):
+    """K11 by digests: two snapshots, of which only buckets that differ are read."""
+    before = view(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    kept = before.filter("id % 700 <> 3").withColumn("name", F.when(F.col("id") % 500 == 7, F.lower("name")).otherwise(F.col("name")))
+    after = kept.unionByName(before.agg((F.max("id") + 1).alias("id")).select("id", F.lit("someone new").alias("name"), F.lit(0.0).alias("balance")))
+    folder = fresh_dir(spark, "audit")
+    for df, name in ((before, "before"), (after, "after")):
+        digests.write_snapshot(df, "id", f"{folder}/{name}")
+    return digests.audit_snapshots(spark, f"{folder}/before", f"{folder}/after", "id", "customer")
+
+
 @query("select case when n_nationkey < 5 then 'delete' when n_nationkey % 6 = 0 then 'update' end as action, 'nation' as entity, n_nationkey as entity_id from nation where n_nationkey < 5 or n_nationkey % 6 = 0")
 def audit_diff(spark, d):
     before = view(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))

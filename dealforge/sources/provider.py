@@ -95,7 +95,8 @@ def unwrap(bodies: DataFrame, body: str, *keys: str) -> DataFrame:
     parsed = bodies.withColumn("__types", F.from_json(text, "map<string,variant>")).withColumn("__texts", F.from_json(text, "map<string,string>"))
     of_object = F.filter(F.map_entries("__types"), lambda e: F.schema_of_variant(e["value"]).startswith("ARRAY"))
     like_arrays = F.filter(F.map_entries("__texts"), lambda e: F.coalesce(F.ltrim(e["value"]).startswith("["), F.lit(False)))
-    names = F.coalesce(F.transform(of_object, lambda e: e["key"]), F.transform(like_arrays, lambda e: e["key"]))
+    names = F.transform(F.when(F.size("__types") == F.size("__texts"), of_object), lambda e: e["key"])
+    names = F.coalesce(names, F.transform(like_arrays, lambda e: e["key"]))
     named = [F.when(F.array_contains(names, k), F.lit(k)) for k in keys]
     array = "array<string>"
     records = F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, array)), F.from_json(F.try_element_at("__texts", F.coalesce(*named, F.get(names, 0))), array))

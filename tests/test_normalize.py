@@ -58,5 +58,5 @@ def test_payload_of_an_offer_without_a_store(spark):
 
 
 def test_envelopes_tell_arrays_from_texts(spark):
-    bodies = spark.createDataFrame([('{"note":"[1]","Items":[{"b":1,"a":[{"q":2}],"b":3},[1],null]}',), ('{"X":[{"x":1}],"Campaigns":"[9]"}',), (" [ ]",)], "body string")
-    assert sorted(r["record"] for r in provider.unwrap(bodies, "body", "Campaigns").collect()) == ['{"b":1,"a":[{"q":2}],"b":3}', '{"x":1}']
+    bodies = spark.createDataFrame([('{"note":"[1]","Items":[{"b":1,"a":[{"q":2}],"B":3},[1],null]}',), ('{"n":1,"Items":[{"d":1,"d":2}]}',), ('{"X":[{"x":1}],"Campaigns":"[9]"}',), (" [ ]",)], "body string")
+    assert sorted(r["record"] for r in provider.unwrap(bodies, "body", "Campaigns").collect()) == ['{"b":1,"a":[{"q":2}],"B":3}', '{"d":1,"d":2}', '{"x":1}']
