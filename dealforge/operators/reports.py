@@ -154,3 +154,25 @@ def sync_statistics(per_entity: DataFrame) -> DataFrame:
     numbers = [c for c in per_entity.columns if c != "entity"]
     by = per_entity.rollup("entity").agg(*[F.sum(c).cast("long").alias(c) for c in numbers], F.grouping("entity").alias("__all"))
     return by.withColumn("entity", F.when(F.col("__all") == 1, "total").otherwise(F.col("entity"))).drop("__all")
+
+
+def daily_bitmaps(clicks: DataFrame) -> DataFrame:
+    """Day, part, users (a bitmap), clicks: what a day adds to any span, one row a day and 32,768 user ids.
+
+    Written once a day, it stands for the facts: spans add up days and scan no clicks.
+    Clicks without a user are counted in part -1.
+    """
+    user = F.col("user_id").cast("long")
+    part = F.coalesce(F.bitmap_bucket_number(user), F.lit(-1).cast("long"))
+    return clicks.groupBy(F.to_date("clicked_at").alias("day"), part.alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(user)).alias("users"), F.count("*").alias("clicks"))
+
+
+def span_totals(daily: DataFrame, today: str, spans: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
+    """Span (days up to today), clicks, users: distinct users exactly, by joining the days' bitmaps.
+
+    Bitmaps combine in each task and meet by part, never all in one.
+    """
+    day = F.lit(today).cast("date")
+    inside = daily.filter(F.col("day").between(F.date_sub(day, max(spans) - 1), day)).withColumn("span", F.explode(F.array(*map(F.lit, spans)))).filter(F.col("day") > F.date_sub(day, F.col("span")))
+    parts = inside.groupBy("span", "part").agg(F.bitmap_or_agg("users").alias("users"), F.sum("clicks").alias("clicks"))
+    return parts.groupBy("span").agg(F.sum("clicks").alias("clicks"), F.sum(F.when(F.col("part") >= 0, F.bitmap_count("users")).otherwise(0)).alias("users"))

@@ -11,6 +11,7 @@ from dealforge.functions.offers import nice_ceil
 from dealforge.functions.text import is_conversational
 from dealforge.operators import access, catalog, reports
 from dealforge.plans.registry import query
+from dealforge.session import fresh_dir
 from dealforge.sources.catalogue import NOW, TODAY, oracle, view
 
 MONTH_AGO = "2024-01-01 00:00:00"
@@ -349,3 +350,16 @@ def fn_axis(spark, d):
 )
 def fn_conversational(spark, d):
     return view(spark, d, "conversations").select("conv_id", "turn", is_conversational(F.col("text")).alias("conversational"))
+
+
+@query(
+    oracle(
+        "select span, count(*) as clicks, count(distinct user_id) as users from coupon_clicks join (select unnest([7, 30, 90]) as span) s on cast(clicked_at as date) > date '2024-01-31' - span and cast(clicked_at as date) <= date '2024-01-31' group by 1",
+        "coupon_clicks",
+    )
+)
+def distinct_visitors(spark, d):
+    """A7 over spans of days, from a table of daily bitmaps."""
+    folder = fresh_dir(spark, "daily")
+    reports.daily_bitmaps(view(spark, d, "coupon_clicks")).write.partitionBy("day").parquet(folder)
+    return reports.span_totals(spark.read.schema("part long, users binary, clicks long, day date").parquet(folder), TODAY)

@@ -11,7 +11,7 @@ from dealforge.plans.registry import query
 from dealforge.session import fresh_dir, setting
 from dealforge.sources import feed
 from dealforge.sources.catalogue import oracle, view
-from dealforge.streaming import rotation
+from dealforge.streaming import rotation, upserts
 
 # A feed has 1000 events, a page 100. Every fifth feed from the third has a short page in
 # its middle, from the fourth a page that fails twice, from the fifth one that is not there.
@@ -82,3 +82,14 @@ def policy_rotation_stream(spark, d):
             stream = rotation.rotated(spark.readStream.schema(sizes.schema).parquet(f"{folder}/sizes"))
             stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/cursors").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rotation.CURSORS).parquet(f"{folder}/cursors")
+
+
+@query(oracle("select coupon_id, max(id) as id, arg_max(user_id, id) as user_id, arg_max(source_page, id) as source_page from coupon_clicks where coupon_id is not null group by 1", "coupon_clicks"))
+def last_click_stream(spark, d):
+    """K1, K4: clicks come in batches that are not in order; the table keeps the last one of every coupon."""
+    folder = fresh_dir(spark, "clicks")
+    clicks = view(spark, d, "coupon_clicks").filter("coupon_id is not null").select("coupon_id", "id", "user_id", "source_page")
+    clicks.repartition(6, F.col("id") % 6).write.parquet(f"{folder}/clicks")
+    stream = spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/clicks")
+    upserts.upsert_stream(stream, f"{folder}/table", ["coupon_id"], f"{folder}/checkpoint", ["id"], 16).awaitTermination()
+    return upserts.latest_version(spark, f"{folder}/table")

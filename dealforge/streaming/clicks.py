@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -23,36 +23,3 @@ def daily_clicks(events: DataFrame, late: str = "1 day") -> DataFrame:
 def distinct_clicks(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Click events once each, within the watermark."""
     return events.filter("event_type = 'click'").withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
-
-
-def upsert_stream(updates: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """K1, K4 as a stream: every batch writes the table's next version under path/batch=N.
-
-    A replayed batch overwrites its own version, so that results are exactly-once.
-    The version before it is the largest one below N.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        from dealforge.operators.policy import upsert
-
-        target = f"{path}/version={number:012d}"
-        spark = batch.sparkSession
-        before = latest_version(spark, path, number)
-        rows = batch.dropDuplicates(keys)
-        rows = rows if before is None else upsert(before.select(*rows.columns), rows, keys)
-        rows.write.mode("overwrite").parquet(target)
-
-    return updates.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest version of a table that upsert_stream writes, or None."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{path}/version={max(numbers):012d}") if numbers else None

@@ -17,7 +17,7 @@ def test_only_changed_buckets_are_read(spark, tmp_path):
     out = digests.audit_snapshots(spark, paths[0], paths[1], "id", "thing")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, access.audit_log(before, after, "id", "thing").collect()))
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [bucket") + plan.count("PartitionFilters: [isnotnull(bucket") == 2  # both sides are pruned to the changed buckets
+    assert plan.count("PartitionFilters: [bucket") == plan.count("PartitionFilters") > 0  # both sides are pruned to the changed buckets
     trees = [spark.read.parquet(f"{p}/tree") for p in paths]
     assert len(digests.changed_buckets(trees[0], trees[1])) == 3
     assert digests.changed_buckets(trees[0], trees[2]) == []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dealforge.functions import head
 from dealforge.sources import provider, sinks
-from dealforge.streaming import clicks
+from dealforge.streaming import clicks, upserts
 
 
 def fetch(page, size, options):
@@ -99,6 +99,6 @@ def test_daily_clicks_stream(spark, tmp_path):
     events = spark.read.parquet(f"{FOLDER}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(str(tmp_path / "in"))
     stream = clicks.daily_clicks(clicks.event_stream(spark, str(tmp_path / "in")))
-    clicks.upsert_stream(stream, str(tmp_path / "out"), ["day", "coupon_id"], str(tmp_path / "ck")).awaitTermination()
-    got = clicks.latest_version(spark, str(tmp_path / "out"))
+    upserts.upsert_stream(stream, str(tmp_path / "out"), ["day", "coupon_id"], str(tmp_path / "ck")).awaitTermination()
+    got = upserts.latest_version(spark, str(tmp_path / "out"))
     assert got.agg(F.sum("clicks")).first()[0] == events.filter("event_type = 'click'").count()
