@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealforge.functions.offers import STATUSES, is_url, usable_code
+from dealforge.operators.ranking import placed
 
 
 def keep_last(df: DataFrame, identity: list[str], arrival: list[str]) -> DataFrame:
@@ -177,21 +178,21 @@ def numbered_slugs(rows: DataFrame, taken: DataFrame, order: list[str]) -> DataF
     """rows with slug, where no base is a numbered form of another.
 
     A taken number t is passed by the n-th row to number if fewer than n free numbers
-    lie below it: t - 2 less the taken ones below. One running count in order of
-    these, over rows and taken numbers alike, tells each row how many it passes.
+    lie below it: t - 2 less the taken ones below. In one order of rows and taken
+    numbers by these, a row's place less its place among the rows tells how many it
+    passes. All places are found by ranges (see ranking.placed): a base may hold any
+    share of the rows.
     """
     bases = rows.select("base").distinct()
     in_use = bases.join(taken.select("base"), "base", "left_semi").withColumn("__used", F.lit(1))
     suffix = F.regexp_extract("slug", r"-([1-9]\d*)$", 1)
     numbers = taken.select(F.col("base").alias("slug")).withColumn("__number", suffix.try_cast("int")).filter("__number >= 2")
-    numbers = numbers.withColumn("base", F.expr("left(slug, length(slug) - length(__number) - 1)")).join(bases, "base", "left_semi")
-    upward = Window.partitionBy("base").orderBy("__number")
-    passed = numbers.select("base", (F.col("__number") - 1 - F.row_number().over(upward)).alias("__at"))  # free numbers below
-    nth = F.row_number().over(Window.partitionBy("base").orderBy(*order)) - 1 + F.coalesce("__used", F.lit(0))
-    placed = rows.join(in_use, "base", "left").withColumn("__nth", nth)
-    both = placed.withColumn("__at", F.col("__nth")).withColumn("__row", F.lit(1)).unionByName(passed.withColumn("__row", F.lit(0)), allowMissingColumns=True)
-    before = F.sum(F.when(F.col("__row") == 0, 1).otherwise(0)).over(Window.partitionBy("base").orderBy("__at", F.desc("__row")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = both.withColumn("__passed", before).filter("__row = 1")
+    numbers = numbers.withColumn("base", F.expr("left(slug, length(slug) - length(__number) - 1)")).join(bases, "base", "left_semi").select("base", "__number")
+    passed = placed(numbers, ["base"], [F.asc("__number")], "__below").select("base", (F.col("__number") - 1 - F.col("__below")).alias("__at"))  # free numbers below
+    ordered = placed(rows, ["base"], [F.col(c) for c in order], "__own").join(in_use, "base", "left")
+    nth = F.col("__own") - 1 + F.coalesce("__used", F.lit(0))
+    both = ordered.withColumn("__nth", nth).withColumn("__at", nth).withColumn("__row", F.lit(1)).unionByName(passed.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    out = placed(both, ["base"], [F.asc("__at"), F.desc("__row")], "__place").filter("__row = 1").withColumn("__passed", F.col("__place") - F.col("__own"))
     slug = F.when(F.col("__nth") == 0, F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("__nth") + 1 + F.col("__passed")).cast("string")))
     return out.withColumn("slug", slug)
 
