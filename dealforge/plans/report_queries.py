@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealforge.functions.callable import register_functions
 from dealforge.functions.offers import nice_ceil
 from dealforge.functions.text import is_conversational
 from dealforge.operators import access, catalog, reports
@@ -363,3 +364,23 @@ def distinct_visitors(spark, d):
     folder = fresh_dir(spark, "daily")
     reports.daily_bitmaps(view(spark, d, "coupon_clicks")).write.partitionBy("day").parquet(folder)
     return reports.span_totals(spark.read.schema("part long, users binary, clicks long, day date").parquet(folder), TODAY)
+
+
+_SUBSCRIBERS = "id, 'u' || id || '@x.example' as email, 'token-' || id as token, id % 3 <> 0 as active"
+
+
+@query(
+    oracle(
+        f""", sub as (select {_SUBSCRIBERS} from stores), q as (select source, lower(trim(query)) as name, count(*) as n, row_number() over (partition by source order by count(*) desc, lower(trim(query))) as place from search_queries where trim(query) <> '' group by 1, 2)
+ select 'search' as what, name, n from q where source = 'search' and place <= 25 union all select 'ai', name, n from q where source = 'ai' and place <= 8
+ union all select 'subscribe', 'new@x.example', 1 union all select 'unsubscribe', token, id from sub where token = 'token-4' and active""",
+        "stores", "search_queries",
+    )
+)
+def call_functions(spark, d):
+    """2.12: functions with parameters, called from SQL; of three addresses one is known and one is none."""
+    register_functions(spark, search_queries=view(spark, d, "search_queries"), subscribers=view(spark, d, "stores").selectExpr(*_SUBSCRIBERS.split(", ")))
+    return spark.sql("""
+        select 'search' as what, query as name, count as n from get_top_searches(25) union all select 'ai', query, count from get_top_searches(n => 8, kind => 'ai')
+        union all select 'subscribe', t.email, 1 from values (' New@X.example '), (' U1@x.example'), ('no address') as a(address), lateral subscribe_email(a.address) t
+        union all select 'unsubscribe', 'token-' || id, id from unsubscribe_by_token('token-4')""")
