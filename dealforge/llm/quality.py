@@ -159,10 +159,13 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     The verdict is a chain of columns that use one another several times. A filter
     on it would be pushed below them all, each use expanded; the row number, which
-    is not deterministic, keeps the filter above.
+    is not deterministic, keeps the filter above. The caller's row travels as one
+    struct: its columns may have any names. Nulls, repeats, ties and empty tables as
+    in quality_rules; very long texts are judged whole.
     """
-    judged = judge(docs, scratch(language_references(docs.select("text", "lang")))).withColumn("__q_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("__q_kept") & (F.col("__q_row") >= 0)).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__q_own"), "text", "lang")
+    judged = judge(own, scratch(language_references(docs.select("text", "lang")))).withColumn("__q_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("__q_kept") & (F.col("__q_row") >= 0)).select("__q_own.*")
 
 
 def op10_quality_rules(spark, sf_dir):

@@ -60,3 +60,11 @@ def test_pipeline(spark):
     assert counts[0] > counts[1] > counts[2] == counts[3] > 0
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
+
+
+def test_keep_good_leaves_the_callers_columns(spark):
+    text = " ".join(f"word{i} of a line" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "en", "mine", [7], 1.5), (2, "too short", "en", "mine", [7], 1.5)], "doc_id long, text string, lang string, __q_text string, __q_words array<int>, `__q_own.x` double")
+    kept = quality.keep_good(docs)
+    assert kept.schema == docs.schema
+    assert [tuple(r) for r in kept.collect()] == [(1, text, "en", "mine", [7], 1.5)]
