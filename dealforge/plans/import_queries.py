@@ -474,7 +474,7 @@ def audit_digests(spark, d):
     after = kept.unionByName(before.agg((F.max("id") + 1).alias("id")).select("id", F.lit("someone new").alias("name"), F.lit(0.0).alias("balance")))
     folder = fresh_dir(spark, "audit")
     for df, name in ((before, "before"), (after, "after")):
-        digests.write_snapshot(df, "id", f"{folder}/{name}")
+        digests.write_snapshot(df, "id", f"{folder}/{name}", 64)
     return digests.audit_snapshots(spark, f"{folder}/before", f"{folder}/after", "id", "customer")
 
 
