@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dealforge.functions.callable import register_functions
 from dealforge.functions.offers import nice_ceil
 from dealforge.functions.text import is_conversational
-from dealforge.operators import access, catalog, reports
+from dealforge.operators import access, catalog, reports, substring
 from dealforge.plans.registry import query
 from dealforge.session import fresh_dir
 from dealforge.sources.catalogue import NOW, TODAY, oracle, view
@@ -384,3 +384,35 @@ def call_functions(spark, d):
         select 'search' as what, query as name, count as n from get_top_searches(25) union all select 'ai', query, count from get_top_searches(n => 8, kind => 'ai')
         union all select 'subscribe', t.email, 1 from values (' New@X.example '), (' U1@x.example'), ('no address') as a(address), lateral subscribe_email(a.address) t
         union all select 'unsubscribe', 'token-' || id, id from unsubscribe_by_token('token-4')""")
+
+
+# Plain terms, one with a live wildcard, one too short for the index, one in very many titles, one that nothing holds.
+_TERMS = ("D WIDGET", "4% off c", "rod1", "9% O", "7", "off", "no such offer")
+
+
+def _offer_index(spark, d) -> substring.SubstringIndex:
+    """An index of titles and codes in two batches."""
+    offers, folder = view(spark, d, "coupons"), fresh_dir(spark, "substrings")
+    for batch in (0, 1):
+        substring.write_index(offers.filter(F.col("id") % 2 == batch), "id", ["title", "coupon_code"], folder, batch, 32, 4)
+    return substring.SubstringIndex(spark, folder)
+
+
+@query(oracle(" union all ".join(f"select '{t}' as term, id, title, coupon_code from coupons where title ilike '%{t}%' or coupon_code ilike '%{t}%'" for t in _TERMS), "coupons"))
+def substring_search(spark, d):
+    """F4, F6 by the index of trigrams."""
+    index = _offer_index(spark, d)
+    each = [index.ilike_any(f"%{t}%").select(F.lit(t).alias("term"), "id", "title", "coupon_code") for t in _TERMS]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(oracle("select c.id, c.title, c.coupon_code, c.created_at, s.name as store_name from coupons c left join stores s on s.id = c.store_id where c.status = 'active' and (c.title ilike '%widget2%' or c.coupon_code ilike '%widget2%') order by c.created_at desc, c.id limit 12", "coupons", "stores"))
+def substring_newest(spark, d):
+    """the search page over the rows that the index names."""
+    return catalog.search_offers(_offer_index(spark, d).holding(["widget2"]), view(spark, d, "stores"), "widget2")
+
+
+@query(oracle("select id, status from coupons where (lower(title) like '%bolt%' or lower(coupon_code) like '%bolt%') and status = 'active'", "coupons"))
+def substring_facets(spark, d):
+    """F10, F11 by the index."""
+    return catalog.facets(_offer_index(spark, d).contains_any("BOLT"), status="active").select("id", "status")
