@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealforge.plans.registry import query
 from dealforge.session import fresh_dir, setting
+from dealforge.operators import sideloads
 from dealforge.sources import feed
 from dealforge.sources.catalogue import oracle, view
 from dealforge.streaming import rotation, upserts
@@ -93,3 +94,46 @@ def last_click_stream(spark, d):
     stream = spark.readStream.schema(clicks.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/clicks")
     upserts.upsert_stream(stream, f"{folder}/table", ["coupon_id"], f"{folder}/checkpoint", ["id"], 16).awaitTermination()
     return upserts.latest_version(spark, f"{folder}/table")
+
+
+_SIDE_SQL = """, ads as (select n as seq, case when n % 5 = 0 then 'P' || n end as promotion_id, case when n % 5 < 2 then (n % 50)::varchar end as campaign_id, case n % 5 when 3 then (100000 + n)::varchar when 1 then null else 'A' || (n % 20) end as advertiser_id,
+ case when n % 5 < 2 then p_name when n % 5 = 3 then 'only ' || n end as title, case n % 5 when 0 then 'c' || n when 2 then 'k ' || (n % 30) end as code, case n % 5 when 0 then 'about ' || p_name when 3 then 'only ' || n end as description,
+ case n % 5 when 0 then 'C' || n when 2 then 'K ' || (n % 30) end as offer_code, case when n % 5 = 0 then 'https://t.example/' || n end as tracking, case when n % 5 = 1 then 'https://www.shop' || (n % 7) || '.example/x' end as landing from raw_ads join part on n = p_partkey where n % 5 < 4),
+ k as (select unnest([(n % 60)::varchar, 'A' || (n % 25)]) as key, n from raw_campaigns), cm as (select key, max(n) as n from k group by 1),
+ p as (select n, case n % 6 when 0 then 'P' || n when 1 then '1' end as promotion_id, case n % 6 when 0 then '7' when 1 then (n % 55)::varchar end as campaign_id, case n % 6 when 2 then 'A' || (n % 30) when 3 then 'A' || (n % 20) when 4 then (100000 + n - 1)::varchar end as advertiser_id,
+ case when n % 6 in (1, 2) then p_name end as title, case when n % 6 = 3 then 'k ' || (n % 30) end as code from raw_promotions join part on n = p_partkey where n % 6 < 5),
+ i1 as (select promotion_id, max(seq) as a from ads where promotion_id is not null group by 1), i2 as (select campaign_id, title, max(seq) as a from ads where campaign_id is not null and title is not null group by 1, 2), i3 as (select campaign_id, max(seq) as a from ads where campaign_id is not null group by 1 having count(*) = 1),
+ i4 as (select advertiser_id, title, min(seq) as a from ads where advertiser_id is not null and title is not null group by 1, 2), i5 as (select advertiser_id, code, min(seq) as a from ads where advertiser_id is not null and code is not null group by 1, 2), i6 as (select advertiser_id, max(seq) as a from ads where advertiser_id is not null group by 1 having count(*) = 1),
+ m as (select p.n, coalesce(i1.a, i2.a, i3.a, i4.a, i5.a, i6.a) as seq, case when i1.a is not null then 'promotion_id' when i2.a is not null then 'campaign_title' when i3.a is not null then 'campaign_single' when i4.a is not null then 'advertiser_title' when i5.a is not null then 'advertiser_code' when i6.a is not null then 'advertiser_single' end as matched_by,
+ coalesce(x.n, y.n) as c from p left join i1 on i1.promotion_id = p.promotion_id left join i2 on i2.campaign_id = p.campaign_id and i2.title = p.title left join i3 on i3.campaign_id = p.campaign_id left join i4 on i4.advertiser_id = p.advertiser_id and i4.title = p.title
+ left join i5 on i5.advertiser_id = p.advertiser_id and i5.code = p.code left join i6 on i6.advertiser_id = p.advertiser_id left join cm x on x.key = p.advertiser_id left join cm y on y.key = p.campaign_id),
+ e as (select m.n as index, matched_by, description, offer_code as code, coalesce(tracking, 'https://c.example/' || c) as tracking_url, case when tracking is not null then 'ad' when c is not null then 'campaign' end as tracking_source,
+ coalesce(landing, 'https://www.c' || c || '.example/') as landing_page, s_name as advertiser_name, case when c % 3 > 0 then 'US' end as country, case when c is not null then 'US,CA' else '' end as regions,
+ concat_ws(',', case when c is not null then 'a.example,b.example,c' || c || '.example' end, regexp_extract(landing, 'shop[0-9].example', 0)) as domains from m left join ads using (seq) left join supplier on s_suppkey = c)
+ """
+_SIDE_VIEWS = ("raw_ads", "raw_campaigns", "raw_promotions")
+
+
+def _side_feeds(spark, d):
+    """(ads, campaigns, promotions): the first two as pages of 200 records, loaded as feeds until they end."""
+    folder = fresh_dir(spark, "sideloads")
+    pages = [view(spark, d, f"raw_{name}").select(F.lit(name).alias("feed"), (F.floor(F.col("n") / 200) + 1).cast("int").alias("page"), (F.col("n") % 200).cast("int").alias("place"), "record") for name in ("ads", "campaigns")]
+    pages[0].unionByName(pages[1]).repartitionByRange("feed", "page").sortWithinPartitions("feed", "page").write.partitionBy("feed").parquet(f"{folder}/pages")
+    options = {"pages": f"{folder}/pages", "failures": json.dumps([["ads", 2, 503, 1]]), "pageSize": 200, "pagesPerBatch": 64, "maxPages": 1 << 30, "baseDelayMs": 1, "jitterMs": 1}
+    loaded = feed.read_to_end(spark, folder, ["ads", "campaigns"], "dealforge.sources.feed:fetch_stored", **options)
+    return loaded.filter("feed = 'ads'"), loaded.filter("feed = 'campaigns'"), view(spark, d, "raw_promotions").withColumnRenamed("n", "index")
+
+
+@query(oracle(_SIDE_SQL + "select * from e", *_SIDE_VIEWS))
+def enrich_side_loads(spark, d):
+    """Promotions with what two loaded feeds add."""
+    ads, campaigns, promotions = _side_feeds(spark, d)
+    rows = sideloads.enrich_offers(promotions, ads, campaigns).drop("currency")
+    return rows.withColumns({k: F.array_join(k, ",") for k in ("regions", "domains")})
+
+
+@query(oracle(_SIDE_SQL + "select count(*) as offers, count(matched_by) as with_ad, count(*) filter (tracking_source = 'campaign') as with_campaign_url, (select count(*) from raw_ads where n % 5 < 4) as ad_records, (select count(*) from raw_campaigns) as campaign_records from e", *_SIDE_VIEWS))
+def enrichment_statistics(spark, d):
+    """What was loaded and how much of it matched."""
+    ads, campaigns, promotions = _side_feeds(spark, d)
+    return sideloads.enrichment_stats(sideloads.enrich_offers(promotions, ads, campaigns), ads, campaigns)

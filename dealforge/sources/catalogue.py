@@ -82,6 +82,26 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
  when 2 then concat('{"CategoryId":', cast(n_nationkey as string), ',"Name":"', n_name, '","ParentId":', cast(n_regionkey as string), ',"a":[1]}')
  else concat('{"Id":"c', cast(n_nationkey as string), '","NAME":" ', n_name, '","CampaignId":""}') end as record from nation""",
     ),
+    # Records of the two feeds that enrichment loads, and promotions.
+    "raw_ads": (
+        ("part",),
+        """select p_partkey as n, case p_partkey % 5
+ when 0 then concat('{"PromotionIds":"P', cast(p_partkey as string), '","CampaignId":', cast(p_partkey % 50 as string), ',"AdvertiserId":"A', cast(p_partkey % 20 as string), '","Name":"', p_name, '","Code":"C', cast(p_partkey as string), '","TrackingLink":"https://t.example/', cast(p_partkey as string), '","Description":"about ', p_name, '"}')
+ when 1 then concat('{"CampaignId":', cast(p_partkey % 50 as string), ',"Title":"', p_name, '","Name":null,"LandingPageUrl":"https://www.shop', cast(p_partkey % 7 as string), '.example/x"}')
+ when 2 then concat('{"AdvertiserId":"A', cast(p_partkey % 20 as string), '","Name":"","DealName":"N/A","CouponCode":"K ', cast(p_partkey % 30 as string), '","TrackingUrl":" "}')
+ when 3 then concat('{"AdvertiserId":', cast(100000 + p_partkey as string), ',"Description":"only ', cast(p_partkey as string), '"}') else '[1]' end as record from part""",
+    ),
+    "raw_campaigns": (
+        ("supplier",),
+        """select s_suppkey as n, concat('{"Id":', cast(s_suppkey % 60 as string), ',"AdvertiserId":"A', cast(s_suppkey % 25 as string), '","CampaignName":"', s_name, '","TrackingLink":"https://c.example/', cast(s_suppkey as string), '","CampaignUrl":"https://www.c', cast(s_suppkey as string), '.example/","DeeplinkDomains":["a.example",null," b.example "],"Geos":"US|CA","Country":"', case when s_suppkey % 3 = 0 then 'none' else 'US' end, '"}') as record from supplier""",
+    ),
+    "raw_promotions": (
+        ("part",),
+        """select p_partkey as n, case p_partkey % 6
+ when 0 then concat('{"Id":"P', cast(p_partkey as string), '","CampaignId":7}') when 1 then concat('{"Id":1,"ProgramId":"', cast(p_partkey % 55 as string), '","PromotionTitle":"', upper(p_name), '!"}')
+ when 2 then concat('{"AdvertiserId":"A', cast(p_partkey % 30 as string), '","Title":"', p_name, '"}') when 3 then concat('{"AdvertiserId":"A', cast(p_partkey % 20 as string), '","Code":"k-', cast(p_partkey % 30 as string), '"}')
+ when 4 then concat('{"AdvertiserId":', cast(100000 + p_partkey - 1 as string), '}') else 'true' end as record from part""",
+    ),
 }
 
 #: The columns whose order is the promotions' order of arrival.

@@ -18,7 +18,7 @@ import time
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from dealforge.sources.provider import retry_wait
@@ -152,6 +152,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeedSource)
 
 
+def read_to_end(spark: SparkSession, folder: str, feeds: list[str], fetch: str, **options) -> DataFrame:
+    """The rows of feeds (SCHEMA), read side by side until each ends; folder: a shared one, in which a run that
+    is started again goes on."""
+    register(spark)
+    stream = spark.readStream.format("provider_feed").options(fetch=fetch, feeds=json.dumps(feeds), progress=f"{folder}/progress", **options).load()
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/records").start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.schema(SCHEMA).parquet(f"{folder}/records")
+
+
 def fetch_stored(feed: str, page: int, size: int, attempt: int, options: dict[str, str]) -> list[str]:
     """A page out of a folder of pages (parquet by feed: page, place, record), as a provider's stand-in.
 
