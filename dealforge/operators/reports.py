@@ -104,6 +104,11 @@ def newsletter_offers(coupons: DataFrame, logs: DataFrame, today: str, limit: in
     return rows.crossJoin(F.broadcast(since)).filter("created_at > since").drop("since").orderBy(F.desc("created_at"), "id").limit(limit)
 
 
+def newsletter_recipients(subscribers: DataFrame) -> DataFrame:
+    """Email and unsubscribe_token of the subscribers who are active and verified; an unknown state is neither."""
+    return subscribers.filter(F.col("active") & F.col("verified")).select("email", "unsubscribe_token")
+
+
 def conditional_counts(df: DataFrame, by: str | None = None, **conditions: Column) -> DataFrame:
     """How many rows meet each condition, all together or by a column."""
     aggs = [F.count_if(c).alias(name) for name, c in conditions.items()]
