@@ -1,11 +1,12 @@
 """Raw provider records to canonical rows and payloads.
 
 A record is one JSON text. It is parsed once, into a map of VARIANT values; its
-entries are exploded and joined with a table of aliases (entity, field, alias,
-priority, consumed), so that another provider's names are rows, not code. One
-aggregation a record brings the values back together: of a field's aliases the one
-with the least priority that has a value wins. What no consumed alias names stays in
-the metadata. Values come back as text, with JSON for arrays and objects.
+entries are looked up in a table of aliases (entity, field, alias, priority,
+consumed), which reaches every task as one map, so that another provider's names are
+rows, not code. All of it is done inside the record's row, no entry is shuffled: of a
+field's aliases the one with the least priority that has a value wins. What no
+consumed alias names stays in the metadata. Values come back as text, with JSON for
+arrays and objects.
 """
 
 from __future__ import annotations
@@ -59,6 +60,15 @@ def is_nested(value: Column) -> Column:
     return kind_of(value).rlike("^(ARRAY|OBJECT)")
 
 
+def settled(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """The kept columns and the made ones, each made once a row.
+
+    A generator of one row: what follows reads its outcome, whereas filters and columns
+    over a projection would repeat the expressions, until they are too long to compile.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def last_of_each(pairs: Column, key: str) -> Column:
     """Of the structs with one key the last, as in a map that is written to in turn."""
     later = lambda i: F.slice(pairs, i + 2, F.size(pairs))
@@ -73,28 +83,31 @@ def picked(records: DataFrame, aliases: DataFrame, *carried: str) -> DataFrame:
     also one without entries. A record in which an object inside names a key twice has
     no VARIANT form and counts as no object.
     """
-    parsed = records.select(*carried, entries(F.col("record")).alias("entries"))
-    rows = parsed.select(*carried, F.col("entries").isNotNull().alias("is_object"), F.posexplode_outer(last_of_each(F.transform("entries", lambda e: F.struct(F.lower(e["key"]).alias("lower"), e["key"].alias("key"), e["value"].alias("value"))), "lower")).alias("place", "e"))
-    value = F.col("e.value")
-    text = F.when(~is_nested(value), F.try_variant_get(value, "$", "string"))
-    flat = rows.select(*carried, "is_object", "place", F.col("e.lower").alias("lower"), F.col("e.key").alias("key"), text.alias("text"), F.to_json(value).alias("json"), (kind_of(value) == "VOID").alias("void"))
-    known = aliases.select("field", F.col("alias").alias("lower"), "priority", "consumed")
-    joined = flat.join(known, "lower", "left")
-    has_value = F.col("field").isNotNull() & ~F.col("void") & (F.coalesce("text", F.lit("-")) != "")
-    offered = F.when(has_value, F.struct("field", "priority", F.struct("text", "json").alias("value")))
-    left = F.when(F.col("key").isNotNull(), F.struct("place", "key", F.coalesce("text", "json").alias("value"), F.coalesce("consumed", F.lit(False)).alias("consumed")))
-    key, rest = carried[0], carried[1:]
-    grouped = joined.groupBy(key).agg(*[F.any_value(c).alias(c) for c in (*rest, "is_object")], F.array_sort(F.collect_list(offered)).alias("offered"), F.array_sort(F.collect_list(left)).alias("left"))
+    key = carried[0]
+    hits = aliases.filter("alias is not null").groupBy("alias").agg(F.collect_list(F.struct("field", "priority", F.coalesce("consumed", F.lit(False)).alias("consumed"))).alias("hits"))
+    known = hits.agg(F.map_from_entries(F.collect_list(F.struct("alias", "hits"))).alias("known"))
+    # a record is longer than what a table keeps of it: a file of few rows a byte makes many tasks
+    parsed = settled(records.repartition(key), *carried, pairs=entries(F.col("record")))
+    named = F.transform("pairs", lambda e: F.struct(F.lower(e["key"]).alias("lower"), e["key"].alias("key"), e["value"].alias("value"), kind_of(e["value"]).alias("kind")))
+    lower = F.transform("pairs", lambda e: F.lower(e["key"]))
+    named = settled(parsed, *carried, is_object=F.col("pairs").isNotNull(), named=named, twice=F.size(F.array_distinct(lower)) < F.size(lower))
+    of_each = F.when(F.col("twice"), last_of_each(F.col("named"), "lower")).otherwise(F.col("named"))
+    text = lambda e: F.when(~e["kind"].rlike("^(ARRAY|OBJECT)"), F.try_variant_get(e["value"], "$", "string"))
+    plain = F.transform(of_each, lambda e: F.struct(e["key"].alias("key"), text(e).alias("text"), F.to_json(e["value"]).alias("json"), (e["kind"] == "VOID").alias("void"), F.try_element_at("known", e["lower"]).alias("hits")))
+    told = settled(named.crossJoin(F.broadcast(known)), *carried, "is_object", told=plain)
+    valued = F.filter("told", lambda e: e["hits"].isNotNull() & ~e["void"] & (F.coalesce(e["text"], F.lit("-")) != ""))
+    offered = F.flatten(F.transform(valued, lambda e: F.transform(F.filter(e["hits"], lambda h: h["field"].isNotNull()), lambda h: F.struct(h["field"].alias("field"), h["priority"].alias("priority"), F.struct(e["text"].alias("text"), e["json"].alias("json")).alias("value")))))
+    unused = F.filter("told", lambda e: ~F.coalesce(F.exists(e["hits"], lambda h: h["consumed"]), F.lit(False)))
+    metadata = F.map_from_entries(F.transform(unused, lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["text"], e["json"]).alias("value"))))
+    sorted_ = settled(told, *carried, "is_object", offered=F.array_sort(offered), metadata=F.coalesce(metadata, F.create_map().cast("map<string,string>")))
     first = F.filter("offered", lambda o, i: (i == 0) | (F.get("offered", i - 1)["field"] != o["field"]))
-    consumed = F.transform(F.filter("left", lambda p: p["consumed"]), lambda p: p["place"])
-    unused = F.array_distinct(F.transform(F.filter("left", lambda p: ~F.array_contains(consumed, p["place"])), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
-    fields = F.map_from_entries(F.transform(first, lambda o: F.struct(o["field"], o["value"])))
-    return grouped.select(*carried, "is_object", fields.alias("fields"), F.map_from_entries(unused).alias("metadata"))
+    fields = F.map_from_entries(F.transform(first, lambda o: F.struct(o["field"].alias("field"), F.struct(tx.as_string(o["value"]["text"]).alias("text"), o["value"]["json"].alias("json")).alias("value"))))
+    return settled(sorted_, *carried, "is_object", "metadata", fields=F.coalesce(fields, F.create_map().cast("map<string,struct<text:string,json:string>>"))).select(*carried, "is_object", "fields", "metadata")
 
 
 def field(name: str) -> Column:
     """A field's trimmed text; null if it is missing, blank, an array or an object."""
-    return tx.as_string(F.try_element_at("fields", F.lit(name))["text"])
+    return F.try_element_at("fields", F.lit(name))["text"]
 
 
 def list_field(name: str) -> Column:
@@ -111,22 +124,22 @@ def with_entries(metadata: Column, **more: Column) -> Column:
     return F.map_from_entries(F.concat(old, made))
 
 
-def split_issues(rows: DataFrame, entity: str, index: str, ids: Column, missing: str, names: Column, name: str) -> tuple[DataFrame, DataFrame]:
+def split_issues(rows: DataFrame, entity: Column, index: str, ids: Column, missing: str, names: Column, name: str) -> tuple[DataFrame, DataFrame]:
     """(rows without an issue, A25: entity, index, reason of the others)."""
-    title = entity.capitalize()
+    title = F.initcap(entity)
     reason = (
-        F.when(~F.col("is_object"), f"{title} record is not an object").when(ids.isNull(), f"{title} record is missing {missing}")
-        .when(names.isNull(), F.concat(F.lit(f"{title} "), ids, F.lit(f" is missing a {name}")))
+        F.when(~F.col("is_object"), F.concat(title, F.lit(" record is not an object"))).when(ids.isNull(), F.concat(title, F.lit(f" record is missing {missing}")))
+        .when(names.isNull(), F.concat(title, F.lit(" "), ids, F.lit(f" is missing a {name}")))
     )
-    marked = rows.withColumn("__reason", reason)
-    return marked.filter("__reason is null").drop("__reason"), marked.filter("__reason is not null").select(F.lit(entity).alias("entity"), F.col(index).alias("index"), F.col("__reason").alias("reason"))
+    marked = settled(rows, *rows.columns, __entity=entity, __reason=reason)
+    return marked.filter("__reason is null").drop("__entity", "__reason"), marked.filter("__reason is not null").select(F.col("__entity").alias("entity"), F.col(index).alias("index"), F.col("__reason").alias("reason"))
 
 
 def normalize_stores(records: DataFrame, aliases: DataFrame, index: str = "index") -> tuple[DataFrame, DataFrame]:
     """(canonical stores, issues) of records (index, record)."""
     rows = picked(records, aliases.filter("entity = 'store'"), index)
     ids = F.coalesce(field("campaign_id"), field("id"), field("advertiser_id"))
-    good, issues = split_issues(rows, "store", index, ids, "CampaignId/Id", field("name"), "name")
+    good, issues = split_issues(rows, F.lit("store"), index, ids, "CampaignId/Id", field("name"), "name")
     raw_logo, logo = field("logo"), of.logo_url(field("logo"))
     warning = F.when(raw_logo.isNotNull() & logo.isNull(), "logo could not be resolved to an absolute http(s) url")
     return good.select(
@@ -140,7 +153,7 @@ def normalize_stores(records: DataFrame, aliases: DataFrame, index: str = "index
 def normalize_categories(records: DataFrame, aliases: DataFrame, index: str = "index") -> tuple[DataFrame, DataFrame]:
     """(canonical categories, issues) of records (index, record)."""
     rows = picked(records, aliases.filter("entity = 'category'"), index)
-    good, issues = split_issues(rows, "category", index, field("id"), "Id", field("name"), "name")
+    good, issues = split_issues(rows, F.lit("category"), index, field("id"), "Id", field("name"), "name")
     return good.select(index, field("id").alias("provider_entity_id"), field("name").alias("name"), field("parent_id").alias("parent_id"), "metadata"), issues
 
 
@@ -162,23 +175,23 @@ def normalize_offers(records: DataFrame, aliases: DataFrame, links: DataFrame |
     enrichment: index and columns of ENRICHMENT.
     """
     coupon = aliases.filter("entity = 'coupon'")
-    added = enrichment if enrichment is not None else records.sparkSession.createDataFrame([], f"{index} {records.schema[index].dataType.simpleString()}, {ENRICHMENT}")
-    extra = added.select(F.col(index), F.struct(*[c for c in added.columns if c != index]).alias("__more"))
     # which of both an offer is decides what its metadata keeps: coupons consume more names
-    all_rows = picked(records, coupon.withColumn("consumed", F.col("consumed") & ~F.col("field").isin(*CODE_FIELDS)), index).join(extra, index, "left")
+    all_rows = picked(records, coupon.withColumn("consumed", F.col("consumed") & ~F.col("field").isin(*CODE_FIELDS)), index)
+    if enrichment is None:
+        all_rows = all_rows.withColumn("__more", F.from_json(F.lit(None).cast("string"), ENRICHMENT))
+    else:
+        all_rows = all_rows.join(enrichment.select(F.col(index), F.struct(*[c for c in enrichment.columns if c != index]).alias("__more")), index, "left")
     more = lambda name: F.col("__more")[name]
-    code = of.offer_code(field("code"), more("code"))
-    is_coupon = of.usable_code(code).isNotNull()
+    coded = settled(all_rows, *all_rows.columns, __code=of.offer_code(field("code"), more("code")))
+    code = F.col("__code")
+    kinds = settled(coded, *coded.columns, kind=F.when(of.usable_code(code).isNotNull(), "coupon").otherwise("deal"))
     code_aliases = F.array(*[F.lit(a.lower()) for names in CODE_FIELDS.values() for a in names])
-    metadata = F.when(is_coupon, F.map_filter("metadata", lambda k, _: ~F.array_contains(code_aliases, F.lower(k)))).otherwise(F.col("metadata"))
-    kind = F.when(is_coupon, "coupon").otherwise("deal")
-    rows = all_rows.withColumn("kind", kind).withColumn("metadata", metadata)
-    good, issues = zip(*[split_issues(rows.filter(F.col("kind") == k), k, index, field("id"), "PromotionIds", field("title"), "title") for k in ("coupon", "deal")])
-    offers = good[0].unionByName(good[1])
+    metadata = F.when(F.col("kind") == "coupon", F.map_filter("metadata", lambda k, _: ~F.array_contains(code_aliases, F.lower(k)))).otherwise(F.col("metadata"))
+    offers, issues = split_issues(kinds.withColumn("metadata", metadata), F.col("kind"), index, field("id"), "PromotionIds", field("title"), "title")
     base = of.discount_of(of.as_number(field("percent")), of.as_number(field("amount")), F.concat_ws(" ", field("offer_kind"), field("offer_words")))
-    enriched = (base["type"] == "unknown") | ((base["type"] == "other") & more("discount_type").isNotNull())
+    enriched = (F.col("__base.type") == "unknown") | ((F.col("__base.type") == "other") & more("discount_type").isNotNull())
     dates = of.date_range(field("effective"))
-    offers = offers.withColumn("__base", base).withColumn("__dates", dates)
+    offers = settled(offers, *offers.columns, __base=base, __dates=dates)
     if links is not None:
         for name in ("advertiser", "campaign"):
             offers = offers.withColumn(f"__{name}", field(f"{name}_id")).join(links.select(F.col("key").alias(f"__{name}"), F.col("url").alias(f"__{name}_url")), f"__{name}", "left")
@@ -186,6 +199,7 @@ def normalize_offers(records: DataFrame, aliases: DataFrame, links: DataFrame |
     else:
         from_store = F.lit(None).cast("string")
     tracking = of.tracking(more("ad_url"), field("tracking_url"), from_store, field("uri"), more("campaign_url"))
+    offers = settled(offers, *offers.columns, __tracking=tracking)
     only_coupon = lambda c: F.when(F.col("kind") == "coupon", c)
     return offers.select(
         index, "kind", field("id").alias("provider_entity_id"), F.coalesce(field("advertiser_id"), field("campaign_id")).alias("store_provider_id"), field("advertiser_id").alias("advertiser_id"),
@@ -193,9 +207,9 @@ def normalize_offers(records: DataFrame, aliases: DataFrame, links: DataFrame |
         only_coupon(F.when(F.coalesce(enriched, F.lit(False)), F.coalesce(more("discount_type"), F.col("__base.type"))).otherwise(F.col("__base.type"))).alias("discount_type"),
         only_coupon(F.coalesce("__base.value", more("discount_value"))).alias("discount_value"),
         F.coalesce(of.as_timestamp(field("start")), F.col("__dates.start"), more("start_date")).alias("start_date"), F.coalesce(of.as_timestamp(field("end")), F.col("__dates.end"), more("end_date")).alias("end_date"),
-        tracking["url"].alias("tracking_url"), only_coupon(F.coalesce(field("terms"), more("terms"))).alias("terms"), of.map_status(field("status")).alias("status"),
-        with_entries(F.col("metadata"), trackingUrlWarning=tracking["warning"]).alias("metadata"),
-    ), issues[0].unionByName(issues[1])
+        F.col("__tracking.url").alias("tracking_url"), only_coupon(F.coalesce(field("terms"), more("terms"))).alias("terms"), of.map_status(field("status")).alias("status"),
+        with_entries(F.col("metadata"), trackingUrlWarning=F.col("__tracking.warning")).alias("metadata"),
+    ), issues
 
 
 # The sentences of generated descriptions, for a store's name, an offer's title and a site's name.

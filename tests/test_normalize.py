@@ -60,3 +60,18 @@ def test_payload_of_an_offer_without_a_store(spark):
 def test_envelopes_tell_arrays_from_texts(spark):
     bodies = spark.createDataFrame([('{"note":"[1]","Items":[{"b":1,"a":[{"q":2}],"B":3},[1],null]}',), ('{"n":1,"Items":[{"d":1,"d":2}]}',), ('{"X":[{"x":1}],"Campaigns":"[9]"}',), (" [ ]",)], "body string")
     assert sorted(r["record"] for r in provider.unwrap(bodies, "body", "Campaigns").collect()) == ['{"b":1,"a":[{"q":2}],"B":3}', '{"d":1,"d":2}', '{"x":1}']
+
+
+def test_entries_stay_in_their_row(spark):
+    rows = spark.createDataFrame([(0, '{"Id":1,"Name":"Sale","Landing":"x"}')], "index int, record string")
+    plan = nz.normalize_offers(rows, nz.alias_table(spark))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("from_json(MapType(StringType,VariantType") == 1  # parsed once, nothing exploded
+
+
+def test_fields_of_odd_side_records(spark):
+    from dealforge.operators import sideloads
+
+    record = '{"AdvertiserName":"N/A","Name":"n","Id":[1],"AdvertiserId":true,"Country":"","CountryCode":" x ","ShipsTo":["a",null,["b"]," ",2],"DeeplinkDomains":"p, q|none"}'
+    df = spark.createDataFrame([(0, record), (1, "[1]"), (2, None)], "seq int, record string")
+    (r,) = sideloads.rows_of(df, sideloads.CAMPAIGN, sideloads.CAMPAIGN_LISTS, "seq").collect()
+    assert (r["name"], r["campaign_id"], r["advertiser_id"], r["country"], r["regions"], r["domains"]) == (None, None, None, "x", ["a", "2"], ["p", "q", "none"])
