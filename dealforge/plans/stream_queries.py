@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +30,13 @@ def provider_feed(spark, d):
     events = view(spark, d, "events").withColumn("f", (number / 1000).cast("long")).withColumn("page", F.floor(F.col("event_id") % 1000 / 100).cast("int") + 1)
     cut = events.filter(~((F.col("f") % 5 == 2) & (F.col("page") == 4) & (place >= 50)))
     cut = cut.select(F.concat(F.lit("feed "), F.col("f").cast("string")).alias("feed"), "page", place.alias("place"), F.to_json(F.struct("event_id", "event_type")).alias("record"))
-    cut.repartition("feed").sortWithinPartitions("feed", "page").write.partitionBy("feed").parquet(f"{folder}/pages")
-    feeds = [r[0] for r in spark.read.parquet(f"{folder}/pages").select(F.col("feed").cast("string")).distinct().collect()]  # a feed is an integration's entity: few
-    failures = [[name, 3, 503, 2] for name in feeds if int(name[5:]) % 5 == 3] + [[name, 2, 404, 9] for name in feeds if int(name[5:]) % 5 == 4]
-    options = {"fetch": "dealforge.sources.feed:fetch_stored", "feeds": json.dumps(feeds), "progress": f"{folder}/progress", "pages": f"{folder}/pages", "failures": json.dumps(failures), "pageSize": 100, "pagesPerBatch": 4, "baseDelayMs": 1, "jitterMs": 1}
-    feed.register(spark)
-    stream = spark.readStream.format("provider_feed").options(**options).load()
-    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/records").start()
-    try:
-        run.processAllAvailable()
-    finally:
-        run.stop()
-    record = F.from_json("record", "event_id long, event_type string")
-    rows = spark.read.schema(feed.SCHEMA).parquet(f"{folder}/records").withColumn("r", record)
+    numbers = events.select("f").distinct()
+    odd = lambda rest, page, status, times: numbers.filter(F.col("f") % 5 == rest).select(F.concat(F.lit("feed "), F.col("f").cast("string")).alias("feed"), F.lit(page).alias("page"), F.lit(status).alias("status"), F.lit(times).alias("times"))
+    feed.store_pages(cut, odd(3, 3, 503, 2).unionByName(odd(4, 2, 404, 9)), f"{folder}/pages")
+    feeds = [r[0] for r in spark.read.parquet(f"{folder}/pages").select("feed").distinct().collect()]  # a feed is an integration's entity: the driver holds a name and a page number of each
+    options = {"pages": f"{folder}/pages", "pageSize": 100, "pagesPerBatch": 4, "pagesPerTask": 512, "baseDelayMs": 1, "jitterMs": 1}
+    rows = feed.read_to_end(spark, folder, sorted(feeds), "dealforge.sources.feed:fetch_stored", **options)
+    rows = rows.withColumn("r", F.from_json("record", "event_id long, event_type string"))
     return rows.select("feed", "page", "place", "r.event_id", "r.event_type", "attempts", "error")
 
 
@@ -118,8 +110,9 @@ def _side_feeds(spark, d):
     """(ads, campaigns, promotions): the first two as pages of 200 records, loaded as feeds until they end."""
     folder = fresh_dir(spark, "sideloads")
     pages = [view(spark, d, f"raw_{name}").select(F.lit(name).alias("feed"), (F.floor(F.col("n") / 200) + 1).cast("int").alias("page"), (F.col("n") % 200).cast("int").alias("place"), "record") for name in ("ads", "campaigns")]
-    pages[0].unionByName(pages[1]).repartitionByRange("feed", "page").sortWithinPartitions("feed", "page").write.partitionBy("feed").parquet(f"{folder}/pages")
-    options = {"pages": f"{folder}/pages", "failures": json.dumps([["ads", 2, 503, 1]]), "pageSize": 200, "pagesPerBatch": 64, "maxPages": 1 << 30, "baseDelayMs": 1, "jitterMs": 1}
+    failing = spark.range(1).select(F.lit("ads").alias("feed"), F.lit(2).alias("page"), F.lit(503).alias("status"), F.lit(1).alias("times"))
+    feed.store_pages(pages[0].unionByName(pages[1]), failing, f"{folder}/pages")
+    options = {"pages": f"{folder}/pages", "pageSize": 200, "pagesPerBatch": 64, "pagesPerTask": 64, "readAhead": "true", "maxPages": 1 << 30, "baseDelayMs": 1, "jitterMs": 1}
     loaded = feed.read_to_end(spark, folder, ["ads", "campaigns"], "dealforge.sources.feed:fetch_stored", **options)
     return loaded.filter("feed = 'ads'"), loaded.filter("feed = 'campaigns'"), view(spark, d, "raw_promotions").withColumnRenamed("n", "index")
 

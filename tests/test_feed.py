@@ -97,3 +97,26 @@ def test_cursors_are_kept_between_runs(spark, tmp_path):
     out = spark.read.schema(rotation.CURSORS).parquet(str(tmp_path / "out")).collect()
     got = sorted((r["store_key"], r["run"], r["first"], r["cursor"]) for r in out)
     assert got == [("a", 0, 0, 2), ("a", 1, 2, 4), ("a", 2, 0, 3), ("a", 3, 3, 3), ("b", 0, 0, 0), ("b", 1, 0, 1), ("c", 0, 0, 0), ("c", 3, 0, 2)]
+
+
+def long_feeds(name, page, size, attempt, options):
+    last = {"a": 70, "b": 3}[name]  # behind a short page there are full ones again
+    return [page * 10 + i for i in range(size - (page == last))]
+
+
+def test_a_long_feed_is_read_ahead_in_few_batches(spark, tmp_path):
+    options = {"pageSize": 2, "pagesPerBatch": 8, "pagesPerTask": 8, "readAhead": "true", "maxPages": 1 << 30, "baseDelayMs": 1}
+    for _ in range(2):  # a restart reads nothing again
+        rows = feed.read_to_end(spark, str(tmp_path), ["a", "b"], "tests.test_feed:long_feeds", **options).collect()
+        got = sorted((r["feed"], r["page"], r["record"]) for r in rows)
+        assert got == sorted((name, p, str(p * 10 + i)) for name, last in (("a", 70), ("b", 3)) for p in range(1, last + 1) for i in range(2 - (p == last)))
+    assert len([f for f in (tmp_path / "checkpoint" / "commits").iterdir() if f.name.isdigit()]) <= 6  # 8, 8, 16, 32, 64 pages
+
+
+def test_short_feeds_share_tasks(tmp_path):
+    names = [f"f{i}" for i in range(1000)]
+    reader = feed.FeedReader({"feeds": json.dumps(names), "progress": str(tmp_path / "p"), "pagesperbatch": "4", "pagespertask": "512"})
+    tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(tasks) == 8 and [r for t in tasks for r in t.runs] == [(n, 1, 5) for n in names]
+    feed.Progress(str(tmp_path / "p")).note_runs([(n, 5, 2) for n in names])
+    assert len(list((tmp_path / "p").iterdir())) == 1 and reader.latestOffset() == dict.fromkeys(names, 5) and not reader.unfinished()
