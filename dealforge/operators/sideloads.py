@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from dealforge.functions.offers import domain_of
 from dealforge.functions.text import clean_string, string_list
 from dealforge.operators import enrich
-from dealforge.operators.normalize import entries, is_nested, kind_of, last_of_each
+from dealforge.operators.normalize import entries, kind_of, last_of_each, settled
+from dealforge.session import stored
 
 # The names under which a record may hold a field, in order of preference; names match exactly.
 AD = {
@@ -33,30 +34,28 @@ PROMOTION = {
 }
 
 
-def _present(record: Column, names: tuple[str, ...]) -> Column:
-    """The VARIANT under the first name that has a value; null and '' are none."""
-    values = [F.try_element_at(record, F.lit(n)) for n in names]
-    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("-"))
-    return F.coalesce(*[F.when((kind_of(v) != "VOID") & (text(v) != ""), v) for v in values])
-
-
-def _text(value: Column) -> Column:
+def _text(value: Column, kind: Column) -> Column:
     """A text without words for "no value", or a number; null for other values."""
-    return F.when(~is_nested(value) & (kind_of(value) != "BOOLEAN"), clean_string(F.try_variant_get(value, "$", "string")))
-
-
-def _texts(value: Column) -> Column:
-    each = F.transform(F.try_variant_get(value, "$", "array<variant>"), _text)
-    listed = F.filter(F.when(kind_of(value).startswith("ARRAY"), each).otherwise(string_list(_text(value))), lambda s: s.isNotNull())
-    return F.coalesce(listed, F.array().cast("array<string>"))
+    return F.when(~kind.rlike("^(ARRAY|OBJECT|BOOLEAN$)"), clean_string(F.try_variant_get(value, "$", "string")))
 
 
 def rows_of(records: DataFrame, fields: dict, lists: dict | None = None, *carried: str) -> DataFrame:
-    """carried columns, fields and lists of the records (column record) that are objects."""
-    pairs = last_of_each(entries(F.col("record")), "key")
-    parsed = records.select(*carried, pairs.alias("pairs")).filter("pairs is not null").select(*carried, F.map_from_entries("pairs").alias("record"))
-    wide = parsed.select(*carried, *[_present(F.col("record"), names).alias(k) for k, names in (fields | (lists or {})).items()])
-    return wide.select(*carried, *[_text(F.col(k)).alias(k) for k in fields], *[_texts(F.col(k)).alias(k) for k in lists or {}])
+    """carried columns, fields and lists of the records (column record) that are objects.
+
+    Every entry is judged once: null and '' are no values, and of a field's names the
+    first that has a value tells it.
+    """
+    parsed = settled(records, *carried, pairs=entries(F.col("record"))).filter("pairs is not null")
+    keys = F.transform("pairs", lambda e: e["key"])
+    kinds = F.transform(F.when(F.size(F.array_distinct(keys)) < F.size(keys), last_of_each(F.col("pairs"), "key")).otherwise(F.col("pairs")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), kind_of(e["value"]).alias("kind")))
+    valued = F.filter(kinds, lambda e: (e["kind"] != "VOID") & (F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit("-")) != ""))
+    of_array = lambda e: F.when(e["kind"].startswith("ARRAY"), F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda v: _text(v, kind_of(v))))
+    told = F.transform(valued, lambda e: F.struct(e["key"], F.struct(_text(e["value"], e["kind"]).alias("text"), *([of_array(e).alias("texts")] if lists else []))))
+    wide = settled(parsed, *carried, told=F.map_from_entries(told))
+    present = lambda names: F.coalesce(*[F.try_element_at("told", F.lit(n)) for n in names])
+    wide = settled(wide, *carried, **{k: present(names) for k, names in (fields | (lists or {})).items()})
+    texts = lambda k: F.filter(F.coalesce(F.col(k)["texts"], string_list(F.col(k)["text"])), lambda s: s.isNotNull())
+    return wide.select(*carried, *[F.col(k)["text"].alias(k) for k in fields], *[F.coalesce(texts(k), F.array().cast("array<string>")).alias(k) for k in lists or {}])
 
 
 def arrival(records: DataFrame) -> DataFrame:
@@ -71,11 +70,11 @@ def enrich_offers(promotions: DataFrame, ads: DataFrame, campaigns: DataFrame, i
     one stands. Columns: index, matched_by, description, code, tracking_url, tracking_source,
     landing_page, advertiser_name, country, currency, regions, domains.
     """
-    found = enrich.with_keys(rows_of(arrival(ads), AD, None, "seq"), "title", "code")
+    found = stored(enrich.with_keys(rows_of(arrival(ads), AD, None, "seq"), "title", "code"), "ads")  # six indexes read it
     payload = ["description", "offer_code", "tracking", "landing"]
-    known = rows_of(arrival(campaigns), CAMPAIGN, CAMPAIGN_LISTS, "seq")
+    known = stored(rows_of(arrival(campaigns), CAMPAIGN, CAMPAIGN_LISTS, "seq"), "campaigns")
     table = enrich.last_by_keys(known, ["campaign_id", "advertiser_id"], "seq", F.struct("name", "country", "tracking", "landing", "currency", "domains", "regions"))
-    offers = enrich.with_keys(rows_of(promotions, PROMOTION, None, index), "title", "code")
+    offers = enrich.with_keys(rows_of(promotions.repartition(index), PROMOTION, None, index), "title", "code")
     joined = enrich.look_up_first(enrich.cascade(offers, found, "seq", payload), ["advertiser_id", "campaign_id"], table, "campaign")
     c = F.col
     url, landing = F.coalesce("ad.tracking", "campaign.tracking"), F.coalesce("ad.landing", "campaign.landing")
