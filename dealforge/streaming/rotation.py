@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEYS = ["policy", "provider", "kind", "store_key"]
@@ -13,28 +14,35 @@ CURSORS = "policy string, provider string, kind string, store_key string, run in
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Fixed value: how many buckets a policy, provider and kind has; a store's bucket must not change while its state lives.
+BUCKETS = 1024
+STORES = "stores array<struct<store_key: string, run: int, cursor: int>>"
+
+
 class Rotation(StatefulProcessor):
     """A store's cursor moves on by its limit in every run in which it publishes; a gated store keeps its cursor.
 
-    Rows: run, size (offers fit to publish), limit, gated. The state remembers the last
-    run, so that one that is told again moves nothing.
+    Rows: store_key, run, size (offers fit to publish), limit, gated. The state of a
+    bucket holds its stores' last runs and cursors, so that a run that is told again
+    moves nothing, and a state is read and written once for many stores.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("cursor", "run int, cursor int")
+        self.state = handle.getValueState("cursors", STORES)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, cursor = self.state.get() if self.state.exists() else (-1, 0)
+        known = {store: (run, cursor) for store, run, cursor in self.state.get()[0]} if self.state.exists() else {}
         out = []
-        for run, size, limit, gated in sorted(r for part in rows for r in zip(part["run"], part["size"], part["limit"], part["gated"])):
+        for store, run, size, limit, gated in sorted(r for part in rows for r in zip(part["store_key"], part["run"].tolist(), part["size"].tolist(), part["limit"].tolist(), part["gated"])):
+            last, cursor = known.get(store, (-1, 0))
             if run <= last:
                 continue
             first = cursor % size if size > limit else 0
             cursor = cursor if gated else (first + limit) % size
-            last = run
-            out.append((*key, int(run), int(first), int(cursor)))
+            known[store] = run, cursor
+            out.append((*key[:3], store, run, first, cursor))
         if out:
-            self.state.update((int(last), int(cursor)))
+            self.state.update(([(store, run, cursor) for store, (run, cursor) in known.items()],))
         yield pd.DataFrame(out, columns=[*KEYS, "run", "first", "cursor"])
 
     def close(self) -> None:
@@ -44,7 +52,8 @@ class Rotation(StatefulProcessor):
 def rotated(sizes: DataFrame) -> DataFrame:
     """CURSORS of every run, from a stream of KEYS, run, size (above 0), limit, gated: a row a store and run.
 
-    The state store must be RocksDB (ROCKSDB). A task holds one row a run and store,
-    never a store's offers; the published ring follows from `first` by a join.
+    The state store must be RocksDB (ROCKSDB). A task holds one row a run and store of
+    a bucket, never a store's offers; the published ring follows from `first` by a join.
     """
-    return sizes.groupBy(*KEYS).transformWithStateInPandas(statefulProcessor=Rotation(), outputStructType=CURSORS, outputMode="Append", timeMode="None")
+    bucket = (F.crc32(F.col("store_key").cast("binary")) % BUCKETS).cast("int")
+    return sizes.withColumn("bucket", bucket).groupBy(*KEYS[:3], "bucket").transformWithStateInPandas(statefulProcessor=Rotation(), outputStructType=CURSORS, outputMode="Append", timeMode="None")

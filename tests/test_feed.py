@@ -120,3 +120,16 @@ def test_short_feeds_share_tasks(tmp_path):
     assert len(tasks) == 8 and [r for t in tasks for r in t.runs] == [(n, 1, 5) for n in names]
     feed.Progress(str(tmp_path / "p")).note_runs([(n, 5, 2) for n in names])
     assert len(list((tmp_path / "p").iterdir())) == 1 and reader.latestOffset() == dict.fromkeys(names, 5) and not reader.unfinished()
+
+
+def test_many_stores_share_a_state(spark, tmp_path):
+    schema = "policy string, provider string, kind string, store_key string, run int, size int, limit int, gated boolean"
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", rotation.ROCKSDB):
+        for run in (0, 1):
+            spark.createDataFrame([("p", "net", "deal", f"s{i}", run, 5, 2, i % 2 == 1) for i in range(3000)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = rotation.rotated(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= rotation.BUCKETS < 3000
+    got = sorted((r["store_key"], r["run"], r["first"], r["cursor"]) for r in spark.read.schema(rotation.CURSORS).parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((f"s{i}", run, *((0, 0) if i % 2 else (2 * run, 2 * run + 2))) for i in range(3000) for run in (0, 1))
