@@ -240,8 +240,8 @@ def store_pages(records: DataFrame, failures: DataFrame, folder: str) -> None:
 
 
 @functools.lru_cache(maxsize=2)
-def _stored_block(pages: str, feed: str, block: int) -> dict[int, list[dict]]:
-    """The rows of a block's pages."""
+def _stored_block(pages: str, feed: str, block: int) -> dict[int, list[tuple]]:
+    """The rows of a block's pages: place, record, status, times."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -250,17 +250,18 @@ def _stored_block(pages: str, feed: str, block: int) -> dict[int, list[dict]]:
     if files.get_file_info(folder).type == fs.FileType.NotFound:
         return {}
     wanted = [("feed", "=", feed), ("page", ">=", block * BLOCK), ("page", "<", (block + 1) * BLOCK)]
-    table = pq.read_table(folder, filesystem=files, filters=wanted, partitioning=None)
-    out: dict[int, list[dict]] = {}
-    for row in table.to_pylist():
-        out.setdefault(row["page"], []).append(row)
+    columns = ["page", "place", "record", "status", "times"]
+    table = pq.read_table(folder, filesystem=files, columns=columns, filters=wanted, partitioning=None)
+    out: dict[int, list[tuple]] = {}
+    for page, *row in zip(*[table[c].to_pylist() for c in columns]):
+        out.setdefault(page, []).append(tuple(row))
     return out
 
 
 def fetch_stored(feed: str, page: int, size: int, attempt: int, options: dict[str, str]) -> list[str]:
     """A page out of a folder of store_pages (option pages), as a provider's stand-in."""
     rows = _stored_block(options["pages"], feed, page // BLOCK).get(page, [])
-    for row in rows:
-        if row["status"] is not None and attempt < row["times"]:
-            raise FetchError(row["status"])
-    return [record for _, record in sorted((r["place"], r["record"]) for r in rows if r["place"] is not None)][:size]
+    for _, _, status, times in rows:
+        if status is not None and attempt < times:
+            raise FetchError(status)
+    return [record for _, record in sorted((place, record) for place, record, _, _ in rows if place is not None)][:size]
