@@ -52,17 +52,25 @@ def scratch(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession):
-    """What is written inside leaves no shuffle files behind: the table takes their place."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def set_inside(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def freed_shuffles(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind: the table takes their place."""
+    return set_inside(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession):
+    """What is written inside passes to and from Python in batches of some 4 MB."""
+    return set_inside(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder by whatever file system its path names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -117,3 +117,44 @@ def test_levels_merge_geometrically(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.remove_repeats(docs).count() == 0
+
+
+def test_rows_do_not_grow_with_documents_and_shards(spark):
+    """Marks leave a task or shard as one block each, and an array is cut into shards in its own order."""
+    chance = random.Random(5)
+    text = lambda n: "".join(chance.choice("abcdefgh ") for _ in range(n))
+    shared = text(400)
+    docs = spark.createDataFrame([(i, text(60) + shared + text(60)) for i in range(600)], "doc_id long, text string").repartition(2)
+    own, shards = suffixes.identified(docs, "doc_id", "text"), 16
+    marks = suffixes.SuffixIndex(spark, shards).add(own, keep=False)
+    assert 0 < marks.count() <= 2 * shards + 4
+    assert digests(suffixes.removed_by_marks(own, marks, shards)) == plain([tuple(r) for r in docs.collect()])
+    core = np.random.default_rng(5).integers(0, 1 << 63, 10_000).astype(np.uint64) << np.uint64(1) & suffixes.SHORT
+    e = {"core": core, "ctx": core + np.uint64(1), "id": np.arange(10_000), "key": np.arange(10_000, dtype=np.int32), "pos": np.arange(10_000, dtype=np.uint32), "told": np.zeros(10_000, np.uint8)}
+    (rows,) = suffixes.task_rows([(e, 1)], shards, suffixes.COVERED)
+    parts = [suffixes.entries_of(data) for _, _, data in rows]
+    assert [shard for shard, _, _ in rows] == list(range(shards)) and np.array_equal(np.sort(core), np.concatenate([p["core"] for p in parts]))
+
+
+def test_windows_are_looked_at_by_their_lowest_core(spark):
+    """Of the windows around an edge those go on whose lowest core it is, unless a covered suffix tells of them."""
+    import pyarrow as pa
+
+    chance = random.Random(8)
+    texts = ["".join(chance.choice("abcdefgh ") for _ in range(n)).encode() for n in (900, 40, 1200, 50)]
+    found = suffixes.joined([suffixes.anchors(g) for g in suffixes.text_groups(texts)])
+    at = [found["pos"][found["row"] == row].astype(np.int64) for row in range(4)]
+    edges, covered = [a[::3] for a in at], [a[1::9] for a in at]
+    marks = [(row, int(p), kind) for kind, places in ((suffixes.EDGE, edges), (suffixes.COVERED, covered)) for row in range(4) for p in places[row]]
+    row, pos, kind = (np.array(x) for x in zip(*marks))
+    block = suffixes.packed({"id": row, "key": row, "pos": pos, "kind": kind}, suffixes.MARKS)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(4), pa.int64()), "key": pa.array(range(4), pa.int32()), "text": pa.array(texts, pa.binary())})
+    out = suffixes.joined([e for e, _ in suffixes.window_entries(batch, suffixes.Places(pa.table({"data": [block]})))])
+    want = []
+    for i, text in enumerate(texts):
+        cores = suffixes.Hashes(np.frombuffer(text, np.uint8)).runs(suffixes.CORE) if len(text) >= 50 else []
+        for s in range(len(text) - 49):
+            lowest = s + int(np.argmin(cores[s : s + 27]))
+            if lowest in edges[i] and not ((covered[i] >= s) & (covered[i] <= s + 26)).any():
+                want.append((i, s))
+    assert sorted(zip(out["id"].tolist(), out["pos"].tolist())) == want and 0 < len(want) < 27 * sum(map(len, edges)) / 2
